@@ -41,14 +41,19 @@ def read_ranks(path: str) -> list[bytes]:
     return out
 
 
+def shown_tokens(path: str) -> list[str]:
+    """Tokens in the order of their ranks, a character for each byte."""
+    table = byte_table()
+    return ["".join(table[b] for b in t) for t in read_ranks(path)]
+
+
 @lru_cache(maxsize=4)
 def tokenizer_of(path: str, pattern: str):
     """A `tokenizers` model that merges by ranks: every split of a token into two tokens is a merge of its rank."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-    table, tokens = byte_table(), read_ranks(path)
-    shown = ["".join(table[b] for b in t) for t in tokens]
+    shown = shown_tokens(path)
     vocab = {s: i for i, s in enumerate(shown)}
     merges = []
     for s in shown:
@@ -71,10 +76,7 @@ def encoder_of(path: str, pattern: str) -> PieceEncoder:
 def token_bytes(path: str) -> tuple[list[bytes], np.ndarray]:
     """By id: its bytes, from the token's characters by the reversed byte table, and their number."""
     back = {c: b for b, c in byte_table().items()}
-    vocab = tokenizer_of(path, r"\s+|\S+").get_vocab()
-    out = [b""] * len(vocab)
-    for shown, i in vocab.items():
-        out[i] = bytes(back[c] for c in shown)
+    out = [bytes(back[c] for c in shown) for shown in shown_tokens(path)]
     return out, np.array([len(t) for t in out], dtype=np.int64)
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts remembered per worker; beyond it the memory starts afresh.
-REMEMBERED = 1_200_000
+REMEMBERED = 400_000
 #: Longer parts are encoded but not remembered.
 LONGEST = 200
 #: White space other than the blank and the line feed (fixed values of the Unicode property), and blanks after white space.
@@ -94,7 +94,7 @@ class PieceEncoder:
         return ids, ends
 
 
-def slices(texts: pa.Array, size: int = 1 << 22):
+def slices(texts: pa.Array, size: int = 1 << 21):
     """Parts of an array of about ``size`` bytes and where they begin, so that a batch of long texts is never held encoded at once."""
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = (np.cumsum(lengths) - lengths) // size
