@@ -147,13 +147,13 @@ def digest(docs: DataFrame) -> DataFrame:
 #: ``digest`` in DuckDB SQL, with the thresholds of RULES.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
-  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-  list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 c AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines, len(list_distinct(w)) AS n_distinct,
-  len(list_filter(w, x -> x = '|')) AS n_pipes, len(regexp_extract_all(t, '!!')) AS n_shouted,
-  len(list_filter(w, x -> list_contains(STOP, lower(x)))) AS n_stop FROM d),
+  len(list_filter(w, lambda x: x = '|')) AS n_pipes, len(regexp_extract_all(t, '!!')) AS n_shouted,
+  len(list_filter(w, lambda x: list_contains(STOP, lower(x)))) AS n_stop FROM d),
 s AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM c WHERE len(w) >= 6),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS n FROM s),
 p AS (SELECT doc_id, least(5, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5)) AS step FROM g WHERE n > 1),
