@@ -139,6 +139,12 @@ def decode_text(ids, path: str) -> str:
     return b"".join(tokens[i] for i in ids).decode("utf-8", errors="replace")
 
 
+def encoded_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids, and ids and bytes as digests, decoded from the ids."""
+    done = decode(encode(docs, path, pattern, offsets=False), path, ["doc_id"])
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: number of ids, SHA-256 of the decimal ids and of the decoded bytes."""
     done = decode(encode(docs, path, pattern, offsets=False), path, ["doc_id"])

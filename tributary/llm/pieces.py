@@ -13,10 +13,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts remembered per worker; beyond it the memory starts afresh.
-REMEMBERED = 400_000
+#: Parts remembered per worker in each of two generations; parts not met again within one are forgotten.
+REMEMBERED = 350_000
 #: Longer parts are encoded but not remembered.
 LONGEST = 200
+#: Signs that are neither letters nor digits, as they follow words.
+SIGNS = ".,!?;:%&*$#"
 #: White space other than the blank and the line feed (fixed values of the Unicode property), and blanks after white space.
 UNSAFE = r"  |\n |^ |[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -26,6 +28,7 @@ class PieceEncoder:
         """blank_matters: the blank before a word belongs to its first token; else white space is dropped."""
         self.tokenizer, self.blank_matters = tokenizer, blank_matters
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _cut(self, text: str) -> list[str]:
         """Parts of a text with other white space than single blanks and line feeds."""
@@ -39,19 +42,33 @@ class PieceEncoder:
                 now += " " + p
         return [*out, now]
 
+    def _learn(self, parts: list[str]) -> None:
+        for lo in range(0, len(parts), 20_000):
+            some = parts[lo : lo + 20_000]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
+
     def _look_up(self, parts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > REMEMBERED:
-            known.clear()
+            self.older, self.known = known, {}
+            known = self.known
         unknown = [p for p in parts if p not in known]
-        long = [p for p in unknown if len(p) > LONGEST]
-        for lo in range(0, len(unknown), 20_000):
-            some = unknown[lo : lo + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
+        known.update({p: self.older[p] for p in unknown if p in self.older})
+        unknown = [p for p in unknown if p not in known]
+        cut = []
+        for p in unknown:  # a run of signs after a letter or digit is a match of its own, so words are learned without it
+            stem = p.rstrip(SIGNS)
+            cut.append((p, stem, p[len(stem) :]) if stem and stem[-1].isalnum() else (p, p, ""))
+        self._learn(list({x for _, stem, tail in cut for x in (stem, tail) if x not in known}))
+        for p, stem, tail in cut:
+            if tail:
+                known[p] = known[stem] + known[tail]
         out = [known[p] for p in parts]
-        for p in set(long):
-            del known[p]
+        for p, stem, _ in cut:
+            if len(p) > LONGEST:
+                known.pop(p, None)
+                known.pop(stem, None)
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +84,7 @@ class PieceEncoder:
             if odd:
                 texts = pc.if_else(unsafe, "", texts)
         else:
-            texts = pc.replace_substring(texts, "\n", " ")
+            texts = pa.array([folded(t) for t in texts.cast(pa.large_binary()).to_pylist()], pa.large_binary()).cast(pa.large_string())
         lists = pc.split_pattern(texts, " ")
         firsts = lists.offsets.to_numpy()[:-1].astype(np.int64)
         lasts = lists.offsets.to_numpy()[1:].astype(np.int64)
@@ -94,6 +111,13 @@ class PieceEncoder:
         return ids, ends
 
 
+def folded(raw: bytes) -> bytes:
+    """A-Z in lower case, as a model that lower-cases does itself, unless an accent of its own may follow a letter; line feeds as blanks."""
+    if b"\xcc" not in raw and b"\xcd" not in raw:
+        raw = raw.lower()
+    return raw.replace(b"\n", b" ")
+
+
 def slices(texts: pa.Array, size: int = 1 << 21):
     """Parts of an array of about ``size`` bytes and where they begin, so that a batch of long texts is never held encoded at once."""
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import bpe, exact_dedup, quality
+from tributary.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, pii, quality, token_files
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_table(spark, sf_dir, "documents"))
 
@@ -27,13 +31,34 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(_table(spark, sf_dir, "documents"), WORD_MODEL)
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_pii": op2_pii,
         "op3_quality_rules": op3_quality_rules,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_token_files": op5_token_files,
+        "op6_line_dedup": op6_line_dedup,
+        "op7_mixing": op7_mixing,
+        "op8_near_dedup": op8_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_quality_rules": quality.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op8_near_dedup": near_dedup.ORACLE}
