@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import SPACE, text_of, words
+from tributary.llm.common import WORD, text_of, words
 
 #: Frequent function words of the corpus languages (fixed values).
 STOP_WORDS = [
@@ -50,98 +50,117 @@ RULES = (
 )
 
 
-def repeated_window_words(w: Column, size: int = 5) -> Column:
-    """Number of words that lie in a window of ``size`` words found at least twice, its first place included.
+def repeated_window_words(w: Column) -> Column:
+    """Number of words that lie in a window of five words found at least twice, its first place included.
 
-    Windows are sorted with their places, equal neighbours give the places, and gaps between places say
-    how many words each adds: linear in the text but for the sort, and skipped where all windows differ.
+    Hashes of windows, put together from hashes of words, show at once that most texts repeat nothing.  Where they
+    repeat, the windows themselves are sorted with their places, equal neighbours give the places, and gaps between
+    places say how many words each adds.  Hashes only ever skip texts whose windows all differ, so counts are exact.
     """
-    n = F.size(w)
+    n, size = F.size(w), 5
     windows = F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.array_join(F.slice(w, i, size), " "))
+    tail = lambda v, k: F.slice(v, k + 1, F.size(v))
+    # zip_with pads the shorter side with nulls, so a window that runs over the end hashes apart; those are cut off
+    step = lambda v, x, k: F.zip_with(v, tail(x, k), lambda a, b: F.xxhash64(a, b))
+
+    def hashed(h: Column) -> Column:
+        out = bound(step(h, h, 1), lambda two: bound(step(two, two, 2), lambda four: step(four, h, 4)))
+        return F.slice(out, 1, n - (size - 1))
+
+    pairs = lambda v, f: F.zip_with(F.slice(v, 1, F.size(v) - 1), tail(v, 1), f)
+
+    def places(order: Column) -> Column:
+        same = pairs(order, lambda a, b: F.when(a["x"] == b["x"], F.array(a["i"], b["i"])))
+        return F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
 
     def covered(v: Column) -> Column:
         order = F.sort_array(F.transform(v, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-        same = F.zip_with(F.slice(order, 1, F.size(order) - 1), F.slice(order, 2, F.size(order) - 1), lambda a, b: F.when(a["x"] == b["x"], F.array(a["i"], b["i"])))
-        places = F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
-        steps = F.zip_with(F.slice(places, 1, F.size(places) - 1), F.slice(places, 2, F.size(places) - 1), lambda a, b: F.least(b - a, F.lit(size)))
-        return F.aggregate(steps, F.lit(size), lambda t, x: t + x)
+        steps = lambda at: F.aggregate(pairs(at, lambda a, b: F.least(b - a, F.lit(size))), F.lit(size), lambda t, x: t + x)
+        return bound(bound(order, places), steps)
 
-    # a one-element array and transform bind the windows to a name, so that they are made once
-    counted = F.transform(F.array(windows), lambda v: F.when(F.size(F.array_distinct(v)) == F.size(v), F.lit(0)).otherwise(covered(v)))
-    return F.when(n >= size + 1, counted[0]).otherwise(F.lit(0)).cast("long")
+    differ = bound(bound(F.transform(w, lambda x: F.xxhash64(x)), hashed), lambda v: F.size(F.array_distinct(v)) == F.size(v))
+    counted = F.when(differ, F.lit(0)).otherwise(bound(windows, lambda v: F.when(F.size(F.array_distinct(v)) == F.size(v), F.lit(0)).otherwise(covered(v))))
+    return F.when(n >= size + 1, counted).otherwise(F.lit(0)).cast("long")
 
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def measure(docs: DataFrame, text_col: str = "text", prefix: str = "q_") -> DataFrame:
-    """The rows with a column ``<prefix><metric>`` for each metric."""
-    text, p = text_of(text_col), prefix
-    w = F.col(f"{p}w")
-    with_words = docs.withColumn(f"{p}w", words(text))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, f"^{SPACE}+", "")) > 0)
-    n_lines = lambda name: F.col(f"{p}{name}")
-    counted = with_words.withColumns({f"{p}lines": lines}).withColumns({
-        f"{p}n_words": F.size(w).cast("long"),
-        f"{p}word_chars": F.length(F.array_join(w, "")).cast("long"),
-        f"{p}n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-        f"{p}n_pipes": F.size(F.filter(w, lambda x: x == "|")).cast("long"),
-        f"{p}n_shouted": F.regexp_count(text, F.lit(r"!!")).cast("long"),
-        f"{p}n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(sorted(set(STOP_WORDS))))).cast("long"),
-        f"{p}n_distinct": F.size(F.array_distinct(w)).cast("long"),
-        f"{p}n_lines": F.size(f"{p}lines").cast("long"),
-        f"{p}n_dup_lines": (F.size(f"{p}lines") - F.size(F.array_distinct(f"{p}lines"))).cast("long"),
-        f"{p}n_repeat_words": repeated_window_words(w),
-    })
-    n = n_lines("n_words")
-    return counted.withColumns({
-        f"{p}mean_word_chars": ratio(n_lines("word_chars"), n),
-        f"{p}symbol_ratio": ratio(n_lines("n_symbols"), n_lines("word_chars")),
-        f"{p}pipe_ratio": ratio(n_lines("n_pipes"), n),
-        f"{p}shout_ratio": ratio(n_lines("n_shouted"), n),
-        f"{p}stop_word_ratio": ratio(n_lines("n_stop_words"), n),
-        f"{p}dup_line_ratio": ratio(n_lines("n_dup_lines"), n_lines("n_lines")),
-        f"{p}repeat_word_ratio": ratio(n_lines("n_repeat_words"), n),
-        f"{p}distinct_word_ratio": ratio(n_lines("n_distinct"), n),
-    }).drop(f"{p}w", f"{p}lines")
-
-
-def verdict(rules: tuple[Rule, ...] = RULES, prefix: str = "q_") -> Column:
-    """All rules as one boolean expression."""
+def bound(value: Column, make) -> Column:
+    """``make(value)`` with the value computed once: a one-element array binds it to a name."""
+    return F.transform(F.array(value), make)[0]
+
+
+def fields(**columns: Column) -> Column:
+    return F.struct(*[c.alias(k) for k, c in columns.items()])
+
+
+def counts(text: Column, w: Column, lines: Column) -> Column:
+    return fields(
+        n_words=F.size(w).cast("long"),
+        word_chars=F.length(F.array_join(w, "")).cast("long"),
+        n_symbols=F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
+        n_pipes=F.size(F.filter(w, lambda x: x == "|")).cast("long"),
+        n_shouted=F.regexp_count(text, F.lit(r"!!")).cast("long"),
+        n_stop_words=F.size(F.filter(w, lambda x: F.lower(x).isin(sorted(set(STOP_WORDS))))).cast("long"),
+        n_distinct=F.size(F.array_distinct(w)).cast("long"),
+        n_lines=F.size(lines).cast("long"),
+        n_dup_lines=(F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        n_repeat_words=repeated_window_words(w),
+    )
+
+
+def ratios(c: Column) -> Column:
+    n = c["n_words"]
+    return fields(
+        n_words=n,
+        mean_word_chars=ratio(c["word_chars"], n),
+        symbol_ratio=ratio(c["n_symbols"], c["word_chars"]),
+        pipe_ratio=ratio(c["n_pipes"], n),
+        shout_ratio=ratio(c["n_shouted"], n),
+        stop_word_ratio=ratio(c["n_stop_words"], n),
+        dup_line_ratio=ratio(c["n_dup_lines"], c["n_lines"]),
+        repeat_word_ratio=ratio(c["n_repeat_words"], n),
+        distinct_word_ratio=ratio(c["n_distinct"], n),
+    )
+
+
+def verdict(r: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """All rules over a struct of ratios as one boolean expression."""
     out = F.lit(True)
-    for r in rules:
-        m = F.col(f"{prefix}{r.metric}")
+    for rule in rules:
         holds = F.lit(True)
-        if r.low is not None:
-            holds = holds & (m >= r.low)
-        if r.high is not None:
-            holds = holds & (m <= r.high)
-        if r.from_words:
-            holds = holds | (F.col(f"{prefix}n_words") < r.from_words)
+        if rule.low is not None:
+            holds = holds & (r[rule.metric] >= rule.low)
+        if rule.high is not None:
+            holds = holds & (r[rule.metric] <= rule.high)
+        if rule.from_words:
+            holds = holds | (r["n_words"] < rule.from_words)
         out = out & holds
     return out
 
 
-def base_failed(prefix: str = "q_") -> Column:
-    n = F.col(f"{prefix}n_words")
-    return (n < 10) | (100 * F.col(f"{prefix}n_repeat_words") > 20 * n)
+def judge(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """(counts, ratios, base_failed, kept) of a text in one expression."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+
+    def judged(c: Column) -> Column:
+        failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
+        return bound(ratios(c), lambda r: fields(counts=c, ratios=r, base_failed=failed, kept=~failed & verdict(r, rules)))
+
+    return bound(words(text), lambda w: bound(lines, lambda x: bound(counts(text, w, x), judged)))
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that hold all rules, with their own columns only."""
-    p = "q__"
-    return measure(docs, text_col, p).filter(~base_failed(p) & verdict(rules, p)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows that hold all rules, with their own columns."""
+    return docs.filter(judge(text_of(F.col(f"`{text_col}`")), rules)["kept"])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    m = measure(docs.select("doc_id", "text"))
-    return m.select(
-        "doc_id",
-        *[F.col(f"q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        base_failed().alias("base_failed"),
-        (~base_failed() & verdict()).alias("kept"),
-    )
+    m = docs.select("doc_id", judge(text_of("text")).alias("m"))
+    base = [F.col(f"m.counts.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return m.select("doc_id", *base, F.col("m.base_failed").alias("base_failed"), F.col("m.kept").alias("kept"))
 
 
 #: ``digest`` in DuckDB SQL, with the thresholds of RULES.
