@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tributary.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, near_dedup, pii, quality, token_files
+from tributary.llm import bpe, exact_dedup, html_extract, line_dedup, mixing, near_dedup, pii, quality, suffix_dedup, token_files
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -47,6 +47,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -61,9 +65,15 @@ def queries():
         "op6_line_dedup": op6_line_dedup,
         "op7_mixing": op7_mixing,
         "op8_near_dedup": op8_near_dedup,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_html_extract": op10_html_extract,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op8_near_dedup": near_dedup.ORACLE}
+    return {
+        "op3_quality_rules": quality.ORACLE,
+        "op4_exact_dedup": exact_dedup.ORACLE,
+        "op8_near_dedup": near_dedup.ORACLE,
+        "op9_suffix_dedup": suffix_dedup.ORACLE,
+    }
