@@ -9,7 +9,10 @@ survives is verified on the full sets, so no link is wrong.
 
 Groups are never expanded into pairs.  In a bucket the smallest member is compared with
 the others; what is then in one component needs no further comparison.  Members of buckets
-that still hold several components are compared with the next smallest member, and so on.
+that still hold several components form clusters (what shares such a bucket), and a cluster
+is compared in blocks: a task holds two blocks of members, compares their signatures as
+matrices, verifies what survives and is not linked yet, and returns only links that join
+components.  No candidate is capped, and rows grow with members and blocks, not with pairs.
 
 Defined results: null or empty texts have an empty set, are linked with nothing and stay;
 texts of fewer than five words are one shingle; rows with equal sets are one class, whatever
@@ -22,8 +25,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +48,8 @@ class Settings:
     #: Posterior probability under which a pair is given up.
     miss: float = 1e-6
     seed: int = 11
-    #: Rounds in which a bucket's next smallest member is compared before what is left is compared in full.
-    peels: int = 4
+    #: Members of a block of a cluster.
+    block: int = 512
 
 
 #: Bytes of A-Z to a-z and other white space to the blank.
@@ -220,6 +223,49 @@ def verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def block_links(left: DataFrame, classes: DataFrame, sets: DataFrame, scratch: Scratch, s: Settings) -> DataFrame:
+    """Links (a, b) that join components among members that share an open bucket. ``left``: c, label, least (of its bucket)."""
+    hundredths = round(100 * s.similarity)
+
+    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+        least = least_matches(s)
+        rows = rows.sort_values(["block", "c"], kind="stable").reset_index(drop=True)
+        signs = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), s.hashes)
+        sets_ = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        size = np.array([len(x) for x in sets_])
+        c, top, block = rows["c"].to_numpy(), rows["label"].to_numpy().copy(), rows["block"].to_numpy()
+        within = rows["lo"].iloc[0] == rows["hi"].iloc[0]
+        out = []
+        for i in range(len(rows)):
+            other = np.arange(i + 1, len(rows)) if within else np.flatnonzero(block > block[i])
+            other = other[(top[other] != top[i]) & (np.minimum(size[other], size[i]) >= s.similarity * np.maximum(size[other], size[i]))]
+            got = np.zeros(len(other), int)
+            for lo in range(0, s.hashes, s.batch):  # batch by batch, what the posterior gives up goes
+                part = slice(lo, lo + s.batch)
+                got = got + (signs[other, part] == signs[i, part]).sum(axis=1)
+                alive = got >= least[lo // s.batch]
+                other, got = other[alive], got[alive]
+            for j in other[np.argsort(-got, kind="stable")]:
+                if top[j] == top[i]:
+                    continue
+                shared = len(np.intersect1d(sets_[i], sets_[j], assume_unique=True))
+                if 100 * shared >= hundredths * (size[i] + size[j] - shared):
+                    out.append((c[i], c[j]))
+                    top[top == top[j]] = top[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    ties = left.filter("c <> least").select(F.col("least").alias("a"), F.col("c").alias("b"))
+    cluster = components(ties, scratch, "cluster")
+    named = left.select("c", F.col("label").alias("component")).distinct()
+    members = scratch.write(named.join(cluster, F.col("c") == F.col("node")).select("c", "component", F.col("label").alias("cluster")), "cluster-members")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / s.block).cast("int").alias("n_blocks"))
+    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("c"), F.col("n_blocks")).cast("int"))
+    dealt = dealt.join(classes.select("c", "signature"), "c").join(sets, "c")
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "c", F.col("component").alias("label"), "signature", "shingles")
+    return dealt.groupBy("cluster", "lo", "hi").applyInPandas(linked, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), scratch: Scratch | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, k1, k2 (the set's name) and component_id, the smallest doc_id that links reach."""
     scratch = scratch or Scratch(docs.sparkSession, "near")
@@ -235,29 +281,18 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), scratch: Scratch
     wanted = scratch.write(members.select("c").distinct().join(classes.select("c", "doc_id", "k1", "k2"), "c"), "wanted")
     sets = scratch.write(full_sets(docs, wanted, s), "sets")
 
-    label = None
-    links = None
-    current = members
-    for k in range(s.peels + 1):
-        if k == s.peels:  # the rest in full: every pair of a bucket in different components
-            x, y = current.select("bucket", F.col("c").alias("a"), F.col("label").alias("la")), current.select("bucket", F.col("c").alias("b"), F.col("label").alias("lb"))
-            pairs = x.join(y, "bucket").filter("a < b AND la <> lb").select("a", "b").distinct()
-        elif k == 0:
-            pairs = current.filter("c <> pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
-        else:
-            pairs = current.filter("c <> pivot AND label <> pivot_label").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
-        found = scratch.write(verified(surviving(pairs, classes, s), sets, s), f"links{k}")
-        links = found if links is None else links.unionAll(found)
-        label = components(links.select("a", "b"), scratch, f"label{k}")
-        if k == s.peels:
-            break
-        # members left to compare: without the pivots used so far, in buckets that hold several components
-        named = current.filter("c <> pivot").select("bucket", "c").join(label, F.col("c") == F.col("node"), "left")
-        named = named.select("bucket", "c", F.coalesce("label", "c").alias("label"))
-        mixed_up = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("c", "label")).alias("p")).filter("lo <> hi")
-        current = scratch.write(named.join(mixed_up.select("bucket", F.col("p.c").alias("pivot"), F.col("p.label").alias("pivot_label")), "bucket"), f"left{k}")
-        if current.isEmpty():
-            break
+    pairs = members.filter("c <> pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
+    links = scratch.write(verified(surviving(pairs, classes, s), sets, s), "links")
+    label = components(links, scratch, "label")
+    # members left to compare: the pivot of a bucket has been, and members of one component need not be
+    named = members.filter("c <> pivot").select("bucket", "c").join(label, F.col("c") == F.col("node"), "left")
+    named = scratch.write(named.select("bucket", "c", F.coalesce("label", "c").alias("label")), "left")
+    several = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("c").alias("least")).filter("lo <> hi")
+    left = scratch.write(named.join(several.select("bucket", "least"), "bucket").select("c", "label", "least").distinct(), "open")
+    if not left.isEmpty():
+        more = scratch.write(block_links(left, classes, sets, scratch, s), "block-links")
+        links = links.unionAll(more)
+        label = components(links, scratch, "label-all")
     named = classes.select("c", "doc_id", "k1", "k2").join(label, F.col("c") == F.col("node"), "left").select("c", "doc_id", "k1", "k2", F.coalesce("label", "c").alias("label"))
     named = scratch.write(named, "named")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
