@@ -1,9 +1,12 @@
 """Registered queries and their SQL twins."""
 
+from tributary.plans import core, graphs  # noqa: F401  they register their queries
+from tributary.plans.registry import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
