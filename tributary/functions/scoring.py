@@ -120,7 +120,7 @@ def rule_explanation(score: Column, tier: Column, in_cycle: Column, n_in: Column
     )
     return F.struct(
         level.alias("level"), F.when(in_cycle, "CYCLE").when(fan_out, "FAN-OUT").when(fan_in, "FAN-IN").alias("typology"),
-        F.round(F.when(in_cycle, 0.95).otherwise(F.least(F.lit(0.9), 0.5 + F.abs(value - 0.45))), 2).alias("confidence"), F.substring(parts, 1, 1200).alias("text"),
+        F.round(F.when(in_cycle, 0.95).otherwise(F.least(F.lit(0.9), 0.5 + F.abs(value - 0.45))) + 1e-9, 2).alias("confidence"), F.substring(parts, 1, 1200).alias("text"),
     )
 
 

@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins."""
 
-from tributary.plans import core, graphs  # noqa: F401  they register their queries
+from tributary.plans import core, graphs, risk  # noqa: F401  they register their queries
 from tributary.plans.registry import QUERIES, SQL
 
 

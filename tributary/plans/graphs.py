@@ -31,12 +31,15 @@ WHERE len(list_filter(ps, lambda p: p.b.f < p.a.f)) <= 1 AND len(list_filter(ps,
     return "WITH RECURSIVE " + ",\n".join([*ET, edges, paths, closed, pairs]) + "\n" + body
 
 
-def _rings(mode, depth, gap=72 * 3600):
-    return lambda s, d: gr.find_rings(FE(s, d), gr.RingRules(depth=depth, gap_seconds=gap, conservation=mode)).select("fingerprint", "ring", "n_hops")
+FLOORS = {"hop": 0, "cycle": 5_000, "off": 10_000}
+
+
+def _rings(mode, depth, gap=72 * 3600, floor=10_000):
+    return lambda s, d: gr.find_rings(FE(s, d), gr.RingRules(depth=depth, gap_seconds=gap, conservation=mode, floor_cents=floor)).select("fingerprint", "ring", "n_hops")
 
 
 for _mode in ("hop", "cycle", "off"):
-    query(f"q_g01_rings_{_mode}", ring_sql(3, 72 * 3600, _mode))(_rings(_mode, 3))
+    query(f"q_g01_rings_{_mode}", ring_sql(3, 72 * 3600, _mode, FLOORS[_mode]))(_rings(_mode, 3, floor=FLOORS[_mode]))
 
 
 @query("q_g04_ring_sweep", "SELECT DISTINCT unnest(ring) AS account FROM (" + ring_sql(3, 72 * 3600) + ")")
