@@ -54,7 +54,9 @@ def repeated_chunks(rows: DataFrame, min_lines: int, min_words: int, scratch: Sc
     counted = every.select("h", place.alias("place")).groupBy("h").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     firsts = scratch.write(counted.filter("n > 1").select("h", F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at")), "firsts")
     # the rest of the work sees only repeated chunks
-    several = scratch.write(every.join(firsts, "h").select("h", "row", "at", "chunk", "first_row", "first_at"), "several")
+    # both joins that move texts are sort-merge joins at every size, so what is measured on small inputs holds on large ones
+    several = scratch.write(every.hint("merge").join(firsts, "h").select("h", "row", "at", "chunk", "first_row", "first_at"), "several")
+    scratch.release()
     is_first = (F.col("row") == F.col("first_row")) & (F.col("at") == F.col("first_at"))
     original = several.filter(is_first).select("h", F.col("chunk").alias("original"))
     return several.filter(~is_first).join(original, "h").filter(F.col("chunk") == F.col("original")).select("row", "at")
@@ -68,7 +70,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     rows = scratch.write(rows, "rows")
     cut = rows.select("row", "doc_id", line_chunks(F.col("text"), window, divisor).alias("chunks"))
     gone = repeated_chunks(cut, min_lines, min_words, scratch).groupBy("row").agg(F.collect_set("at").alias("gone"))
-    out = rows.join(gone, "row", "left")
+    out = rows.hint("merge").join(gone, "row", "left")
     kept = F.filter(line_chunks(F.col("text"), window, divisor), lambda c: ~F.array_contains("gone", c["at"]))
     out = out.withColumns({
         "new": F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda c: c["text"]), "\n")),
