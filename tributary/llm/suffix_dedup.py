@@ -2,7 +2,7 @@
 
 Bytes of a text go when they lie in a 50-byte string that also starts in a document with a
 smaller doc_id.  The suffixes that are indexed are chosen by content: every 50-byte window
-belongs to the smallest hash among its 20-byte substrings, so equal windows belong to equal
+belongs to the smallest hash among its 16-byte substrings, so equal windows belong to equal
 hashes wherever they stand, and neighbouring windows with one hash form a run.  A run is one
 entry: its hash, the hash of all its bytes, document and number.
 
@@ -11,7 +11,10 @@ a batch becomes a sorted array, is merge-scanned against the sorted arrays of th
 it, and is added as a new level; levels of about equal size merge, so there are as many as the
 logarithm of the share and an entry is merged as often.  A run that stands in a smaller document
 byte for byte goes whole.  Runs that share the hash but not all bytes (the ends of a match) are
-settled window by window, comparing the 50 bytes themselves.
+settled window by window, comparing the 50 bytes themselves.  Of the 34 bytes that a window has
+beside the substring at least 17 lie on one side, so a run is only settled if the substring with 17
+bytes before it, or with 17 after it, stands in another document too; a run in which the substring
+stands more than once is always settled.
 
 Defined results: null text has no bytes; null doc_ids are larger than all others; rows with the
 same doc_id never remove each other's bytes; texts under 50 bytes lose nothing; an empty table
@@ -32,11 +35,14 @@ from tributary.llm.common import Scratch
 from tributary.llm.near_dedup import mixed
 from tributary.llm.pieces import slices
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 16
 SPREAD = LENGTH - GRAM + 1
 LAST = (1 << 63) - 1
-#: Entries of a batch of the index family, and bits of an entry's code that number the runs of a document.
-BATCH, ORDINAL = 1 << 17, 24
+HALF = (LENGTH - GRAM + 1) // 2
+#: Entries of a batch of the index family, and bits of an entry's code for the hash of either side of its substring.
+BATCH, SIDE = 1 << 17, 13
+#: The side of a run that ends too early to be shared, and of one whose substring stands in it more than once.
+NONE, MANY = 0, 1
 
 
 class Powers:
@@ -58,20 +64,20 @@ POWERS = Powers()
 
 
 def runs(raw: bytes, ends: np.ndarray):
-    """Runs of the texts that end at ``ends`` in ``raw``: (text, number within the text, first window, last window, hash, hash of the bytes)."""
+    """Runs of the texts that end at ``ends`` in ``raw``: (text, number within the text, first window, last window, hash, hash of the bytes, of the left and of the right side)."""
     n = len(raw)
     offsets = np.concatenate([[0], ends]).astype(np.int64)
     valid = np.zeros(n + 1, np.int64)
     enough = np.flatnonzero(np.diff(offsets) >= LENGTH)
     if not len(enough):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return none, none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none
     np.add.at(valid, offsets[enough], 1)
     np.add.at(valid, offsets[enough + 1] - LENGTH + 1, -1)
     valid = np.cumsum(valid)[:n] > 0
-    padded = raw + bytes(64)
-    at = lambda k: np.ndarray((n + 31,), "<u8", padded, offset=k, strides=(1,))
-    h = mixed(at(0) * np.uint64(0xFF51AFD7ED558CCD) ^ mixed(at(8) + np.uint64(0xC4CEB9FE1A85EC53) * at(12)))
+    padded = raw + bytes(4 * SPREAD)
+    at = lambda k: np.ndarray((n + 2 * SPREAD,), "<u8", padded, offset=k, strides=(1,))
+    h = mixed(at(0) * np.uint64(0xFF51AFD7ED558CCD) ^ mixed(at(8) + np.uint64(0xC4CEB9FE1A85EC53)))
     least, width = h, 1
     while 2 * width <= SPREAD:
         least = np.minimum(least[:-width], least[width:])
@@ -86,15 +92,29 @@ def runs(raw: bytes, ends: np.ndarray):
     number = np.arange(len(s0)) - np.searchsorted(text, text)
     up, down = POWERS.upto(n + 1)
     total = np.concatenate([[np.uint64(0)], np.cumsum(np.frombuffer(raw, np.uint8).astype(np.uint64) * up[:n])])
-    whole = mixed((total[s1 + LENGTH] - total[s0]) * down[s0] + mixed((s1 - s0).astype(np.uint64) + np.uint64(1)))
-    return text, number, s0 - offsets[text], s1 - offsets[text], least[s0], whole
+    span = lambda a, b: mixed((total[b] - total[a]) * down[a])
+    whole = mixed(span(s0, s1 + LENGTH) + mixed((s1 - s0).astype(np.uint64) + np.uint64(1)))
+    # where the substring stands in the run: if once, in all of its windows
+    gram, place, times = least[s0], s1.copy(), np.zeros(len(s0), np.int64)
+    for k in range(-SPREAD + 1, SPREAD):
+        p = s1 + k
+        here = (p >= s0) & (h[np.minimum(np.maximum(p, 0), len(h) - 1)] == gram)
+        times += here
+        place[here] = p[here]
+    times[s1 - s0 >= SPREAD] = 2
+    begin, end = offsets[text], offsets[text + 1]
+    left, right = place - HALF, place + GRAM + HALF
+    side = lambda v, ok: np.where(times != 1, MANY, np.where(ok, 2 + (v % np.uint64((1 << SIDE) - 2)).astype(np.int64), NONE))
+    before = side(span(np.maximum(left, begin), place + GRAM), left >= begin)
+    after = side(span(place, np.minimum(right, end)), right <= end)
+    return text, number, s0 - offsets[text], s1 - offsets[text], gram, whole, before, after
 
 
 class Level:
-    """Sorted entries: key of (hash, bytes), hash, first document and where in it."""
+    """Sorted entries: key of (hash, bytes), hash, sides, first document and where in it."""
 
-    def __init__(self, key, gram, doc, row, number):
-        self.key, self.gram, self.doc, self.row, self.number = key, gram, doc, row, number
+    def __init__(self, key, gram, before, after, doc, row, number):
+        self.key, self.gram, self.before, self.after, self.doc, self.row, self.number = key, gram, before, after, doc, row, number
 
     def __len__(self):
         return len(self.key)
@@ -110,10 +130,10 @@ class IndexFamily:
     def __init__(self):
         self.levels: list[Level] = []
 
-    def add(self, gram, whole, doc, row, number) -> np.ndarray:
+    def add(self, gram, whole, before, after, doc, row, number) -> np.ndarray:
         key = mixed(gram + mixed(whole))
         order = np.lexsort((doc, key))
-        key, gram, doc, row, number = (x[order] for x in (key, gram, doc, row, number))
+        key, gram, before, after, doc, row, number = (x[order] for x in (key, gram, before, after, doc, row, number))
         new = np.concatenate([[True], key[1:] != key[:-1]])
         first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         for level in self.levels:
@@ -123,7 +143,7 @@ class IndexFamily:
             first[hit] = np.minimum(first[hit], level.doc[at[hit]])
             new &= ~hit
         if new.any():
-            self.levels.append(Level(*(x[new] for x in (key, gram, doc, row, number))))
+            self.levels.append(Level(*(x[new] for x in (key, gram, before, after, doc, row, number))))
             while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
                 last = self.levels.pop()
                 self.levels[-1] = self.levels[-1].merged(last)
@@ -132,18 +152,30 @@ class IndexFamily:
         return out
 
     def shared(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row, number) of first entries whose hash stands in several documents with different bytes."""
+        """(row, number) of first entries that may share a window, but not all bytes, with one of another document."""
         if not self.levels:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        gram, doc, row, number = (np.concatenate([getattr(level, k) for level in self.levels]) for k in ("gram", "doc", "row", "number"))
-        order = np.argsort(gram, kind="stable")
-        gram, doc, row, number = gram[order], doc[order], row[order], number[order]
-        start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        several = np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)
-        keep = np.repeat(several, np.diff(np.concatenate([start, [len(gram)]])))
+        gram, before, after, doc, row, number = (np.concatenate([getattr(level, k) for level in self.levels]) for k in ("gram", "before", "after", "doc", "row", "number"))
+        keep = np.zeros(len(gram), bool)
+        for side in (before, after):
+            key = mixed(gram + mixed(side.astype(np.uint64)))
+            keep |= (side > MANY) & several(key, doc)
+        # a substring that stands twice in one run may meet any run of its hash
+        many = np.isin(gram, gram[before == MANY])
+        keep |= many & several(gram, doc)
         return row[keep], number[keep]
 
 
+def several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which entries have a key that stands in more than one document."""
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    differ = np.minimum.reduceat(doc[order], start) < np.maximum.reduceat(doc[order], start)
+    out = np.zeros(len(key), bool)
+    out[order] = np.repeat(differ, np.diff(np.concatenate([start, [len(key)]])))
+    return out
+
+
 def joined(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
     return b"".join(texts), np.cumsum([len(t) for t in texts])
 
@@ -181,17 +213,17 @@ def unpacked(column: pa.Array, least: int = 1 << 21):
 
 
 def entries(rows: DataFrame) -> DataFrame:
-    """(gram, code, doc, row): the runs of each text; code holds 40 bits of the bytes' hash and the run's number."""
+    """(gram, code, doc, row, number): the runs of each text; code holds the hashes of both sides and, in the bits left, of the bytes."""
     def run(batches):
         for batch in batches:
             row, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, texts in unpacked(batch.column(2)):
-                text, number, _, _, gram, whole = runs(*joined(texts))
+                text, number, _, _, gram, whole, before, after = runs(*joined(texts))
                 if len(text):
-                    code = (whole >> np.uint64(ORDINAL)) << np.uint64(ORDINAL) | number.astype(np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(code.view(np.int64)), pa.array(doc[lo + text]), pa.array(row[lo + text])], names=["gram", "code", "doc", "row"])
+                    code = whole << np.uint64(2 * SIDE) | before.astype(np.uint64) << np.uint64(SIDE) | after.astype(np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(code.view(np.int64)), pa.array(doc[lo + text]), pa.array(row[lo + text]), pa.array(number.astype(np.int32))], names=["gram", "code", "doc", "row", "number"])
 
-    return rows.filter(F.col("n_bytes") >= LENGTH).select("row", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "z").mapInArrow(run, "gram long, code long, doc long, row long")
+    return rows.filter(F.col("n_bytes") >= LENGTH).select("row", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "z").mapInArrow(run, "gram long, code long, doc long, row long, number int")
 
 
 def verdicts(found: DataFrame, partitions: int) -> DataFrame:
@@ -200,9 +232,9 @@ def verdicts(found: DataFrame, partitions: int) -> DataFrame:
         family, held, size = IndexFamily(), [], 0
 
         def take():
-            gram, code, doc, row = (np.concatenate(x) for x in zip(*held))
-            number = (code.view(np.uint64) & np.uint64((1 << ORDINAL) - 1)).astype(np.int64)
-            hit = family.add(gram.view(np.uint64), code.view(np.uint64) >> np.uint64(ORDINAL), doc, row, number)
+            gram, code, doc, row, number = (np.concatenate(x) for x in zip(*held))
+            code, low = code.view(np.uint64), np.uint64((1 << SIDE) - 1)
+            hit = family.add(gram.view(np.uint64), code >> np.uint64(2 * SIDE), (code >> np.uint64(SIDE) & low).astype(np.int64), (code & low).astype(np.int64), doc, row, number.astype(np.int64))
             return out(row[hit], number[hit], True)
 
         def out(row, number, whole):
@@ -230,7 +262,7 @@ def windows(rows: DataFrame, found: DataFrame) -> DataFrame:
             row, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             numbers, whole = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for lo, texts in unpacked(batch.column(2)):
-                text, number, s0, s1, _, _ = runs(*joined(texts))
+                text, number, s0, s1, *_ = runs(*joined(texts))
                 begin = np.searchsorted(text, np.arange(len(texts)))
                 cols: list[list] = [[], [], [], [], []]
                 for i, t in enumerate(texts):
@@ -252,7 +284,9 @@ def removed_spans(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(row, start, end): spans of bytes to remove, overlapping ones included."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.write(verdicts(entries(rows), partitions), "verdicts")
+    scratch.release()
     spans = scratch.write(windows(rows, found), "windows")
+    scratch.release()
     pieces = spans.filter(F.col("piece").isNotNull())
     first = pieces.groupBy("piece").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("piece", "first")
     settled = pieces.join(first, "piece").filter("first < doc").select("row", "start", "end")
@@ -282,6 +316,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["row", "spans", "kept"])
 
     cut = rows.select("row", "z").join(asked, "row").select("row", "z", "starts", "ends").mapInArrow(run, "row long, spans array<struct<start:int,end:int>>, kept binary")
+    scratch.release()
     cut = scratch.write(cut.withColumn("kept_sha", F.sha2("kept", 256)), "cut")
     return rows.select("row", "doc_id", "n_bytes", "sha").join(cut, "row", "left")
 
