@@ -141,7 +141,7 @@ class IndexFamily:
             at[at == len(level)] = 0
             hit = level.key[at] == key
             first[hit] = np.minimum(first[hit], level.doc[at[hit]])
-            new &= ~hit
+        new = first == doc  # runs that a document repeats itself stay too: each may be settled
         if new.any():
             self.levels.append(Level(*(x[new] for x in (key, gram, before, after, doc, row, number))))
             while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
