@@ -48,7 +48,7 @@ def read_patterns(spark: SparkSession, path: str, wanted: list[str] | None = Non
 
     A block never spans files, so lines are numbered within a file, by their place in it.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
     begin = F.regexp_extract("line", r"^BEGIN LAUNDERING ATTEMPT - ([A-Z-]+)", 1)
     order = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("start", F.when(begin != "", F.struct(F.col("pos").alias("block"), begin.alias("typology")))).withColumn("end", F.when(F.col("line").startswith("END LAUNDERING"), F.col("pos")))
