@@ -34,8 +34,12 @@ class Scratch:
     A table goes when ``drop`` names it; what is left goes when the driver ends.
     """
 
+    #: Those whose tables have not been removed.
+    live: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.live.append(self)
         atexit.register(self.clear)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -54,6 +58,9 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def clear(self) -> None:
+        """Removes all tables; nothing that is still to be computed may need them."""
+        if self in Scratch.live:
+            Scratch.live.remove(self)
         try:
             self.drop()
         except Exception:  # the session has ended; nothing can be removed through it

@@ -273,6 +273,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), scratch: Scratch
     rows = scratch.write(sketch(docs, s), "sketch")
     full = rows.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = scratch.write(full.withColumn("c", F.monotonically_increasing_id()), "classes")
+    rows = scratch.write(rows.drop("signature"), "names")
+    scratch.drop("sketch")
+    scratch.release()
 
     members = scratch.write(banded(classes, s), "bands")
     shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("pivot")).filter("n > 1").select("bucket", "pivot")
@@ -299,6 +302,9 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), scratch: Scratch
         label = components(links, scratch, "label-all")
     named = classes.select("c", "doc_id", "k1", "k2").join(label, F.col("c") == F.col("node"), "left").select("c", "doc_id", "k1", "k2", F.coalesce("label", "c").alias("label"))
     named = scratch.write(named, "named")
+    for done in ("sets", "members", "wanted", "left", "open", "classes", "cluster-members"):
+        scratch.drop(done)
+    scratch.release()
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     reach = scratch.write(named.join(least, "label").select("k1", "k2", "component_id"), "reach")
     out = rows.select("doc_id", "n_shingles", "k1", "k2").join(reach, ["k1", "k2"], "left")
