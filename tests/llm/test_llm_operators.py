@@ -163,6 +163,48 @@ def test_line_dedup(spark, docs):
     assert all("\n".join(x["text"] for x in r["c"]) == r["text"] for r in joined)
 
 
+def repeated_lines(rows, min_words=20):
+    """Lines of runs that stand at an earlier place too, from each pair of places."""
+    places = [(i, k, x) for i in sorted(rows) for k, x in enumerate(rows[i].split("\n"))]
+    gone = set()
+    for b in range(len(places)):
+        for a in range(b):
+            n = 0
+            while b + n < len(places) and places[a + n][0] == places[a][0] and places[b + n][0] == places[b][0] and places[a + n][2] == places[b + n][2]:
+                n += 1
+            run = [x[2] for x in places[b : b + n]]
+            while run and not run[-1].strip():
+                run.pop()
+            skip = next((k for k, x in enumerate(run) if x.strip()), len(run))
+            if sum(len(x.split()) for x in run) >= min_words:
+                gone |= {(places[b + k][0], places[b + k][1]) for k in range(skip, len(run))}
+    return gone
+
+
+def test_line_dedup_takes_whole_runs(spark):
+    rng = np.random.default_rng(8)
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage, runs = line(55), [[line(rng.integers(3, 9)) if k % 4 else "" for k in range(12)] for _ in range(4)]
+    rows = {}
+    for i in range(24):
+        run = runs[i % 4]
+        a, b = sorted(rng.integers(0, 13, 2))
+        own = lambda: [line(rng.integers(1, 9)) for _ in range(rng.integers(1, 80 if i == 7 else 6))]
+        rows[i] = "\n".join([*own(), *run[a:b], *own(), *([passage] if i % 3 == 0 else []), *own(), *(["same"] * 150 if i % 12 == 0 else [])])
+    gone = repeated_lines(rows)
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)))
+    assert {i: r["text"] for i, r in got.items()} == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows.items()}
+    assert sum(passage in r["text"] for r in got.values()) == 1
+
+
+def test_line_chunks_are_bounded_from_content(spark):
+    tail = ["same"] * 200 + ["end of it"]
+    texts = ["\n".join(["a b", "c d", "e f"][:k] + tail) for k in (1, 2, 3)]
+    cut = spark.createDataFrame([(t,) for t in texts], "text string")
+    ends = [[c["text"] for c in r["c"]] for r in cut.select(line_dedup.line_chunks(cut["text"], divisor=10**9).alias("c")).collect()]
+    assert all(max(x.count("\n") + 1 for x in c) == 64 and "\n".join(c) == t for c, t in zip(ends, texts))
+
+
 def test_mixing(spark, docs):
     rows = spark.createDataFrame([(i, "word " * (1 + i % 23), None if i % 3 == 0 else "ab"[i % 2] if i % 5 else "a") for i in range(600)], "doc_id long, text string, source string")
     got = mixing.digest(rows).collect()
