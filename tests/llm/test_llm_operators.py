@@ -313,6 +313,17 @@ def test_html(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_slots_come_from_the_wrapper(spark):
+    menu = "<div class='zq1'><p>Start<p>Shop</div>"  # no listed class or element
+    body = "<body>{}{}<div class='zq2'><p>Call us</div></body>"
+    rows = [(k, f"http://a.example/{k}", body.format(menu, f"<div><h2>Title {k}</h2>" + "".join(f"<p>story {k} {j}" for j in range(1 + k % 3)) + "</div>")) for k in range(6)]
+    rows += [(200 + k, f"http://c.example/{k}", body.format("", f"<article><p>read {k}<p>Share this page</article>")) for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(df).collect()}
+    assert all(got[k] == " ".join([f"Title {k}"] + [f"story {k} {j}" for j in range(1 + k % 3)]) for k in range(6))
+    assert all(got[200 + k] == f"read {k}" for k in range(4))
+
+
 def test_wrapper_alignment():
     a, b = (html_extract.signature(html_extract.blocks(f"<body>{x}</body>")) for x in ("<p>a</p><p>b</p>", "<h1>t</h1><p>a</p>"))
     wrapper = html_extract.align(a, b)

@@ -5,8 +5,11 @@ groups; the folded streams of a host are aligned one after another, and what one
 becomes an optional group, until one expression without alternatives, the wrapper, accepts
 all of them.  Every slot of a wrapper has a role from the elements around it: chrome (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments), article, or plain.
-A page is then read with its host's wrapper: article slots where the wrapper has any, else
-plain slots whose text is not the same on most pages of the host.
+A page is then matched with its host's wrapper, which says in which slot each of its texts
+stands.  A text that stands in one slot on most of the host's distinct pages, three at least,
+is template, whatever its role; what varies is content.  Of the content, article slots are taken
+where the page has any, else plain ones.  Pages with the same texts count as one page, so copies
+do not make a page's text template; a host with fewer than three distinct pages has no template.
 
 Equal streams are counted once, so a host with a third of all pages is a few streams; they
 are aligned in a tree: first in 16 shares, then the shares' wrappers.
@@ -23,6 +26,7 @@ import json
 import re
 from difflib import SequenceMatcher
 from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -47,6 +51,8 @@ CHROME_WORDS = {
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 SHARES = 16
+#: Distinct pages of a host that a text must be on to be template.
+LEAST_PAGES = 3
 
 
 def marks(attributes: str) -> tuple[str, ...]:
@@ -143,6 +149,11 @@ def roles(stream):
 
 def signature(stream) -> list:
     """The folded stream of a page, its texts replaced by slots with their roles."""
+    return placed(stream)[0]
+
+
+def placed(stream) -> tuple[list, list[int]]:
+    """The signature, and how many of the page's texts stand in each of its items."""
     slot = iter(roles(stream))
     flat = []
     for t in stream:
@@ -151,7 +162,7 @@ def signature(stream) -> list:
         else:
             flat.append(["t", t[0] + t[1] + ("." + ".".join(t[2]) if t[2] else "")])
     # an element with only a text in it, or nothing, is a group from the start, so that one and many of it fold alike
-    out, k = [], 0
+    out, held, k = [], [], 0
     while k < len(flat):
         end = k + 1
         if flat[k][0] == "t" and flat[k][1][0] == "<":
@@ -162,18 +173,20 @@ def signature(stream) -> list:
             if closes or (name in ("p", "li", "dt", "dd", "td", "th") and end > k + 1):
                 role = flat[k + 1][1] if end > k + 1 else ""
                 out.append(["+", [["t", flat[k][1]], ["#", role]]])
+                held.append(end - k - 1)
                 k = end + closes
                 continue
         if flat[k] not in (["t", ">p"], ["t", ">li"]):
             out.append(flat[k])
+            held.append(int(flat[k][0] == "#"))
         k += 1
-    return fold(out)
+    return fold(out, held)
 
 
-def fold(items: list, widest: int = 8) -> list:
-    """Runs of equal item lists become one repeated group, shortest runs first, until nothing repeats."""
+def fold(items: list, held: list[int], widest: int = 8) -> tuple[list, list[int]]:
+    """Runs of equal item lists become one repeated group, shortest runs first, until nothing repeats; ``held`` are the texts in each item."""
     for width in range(1, widest + 1):
-        out, k = [], 0
+        out, sums, k = [], [], 0
         while k < len(items):
             body = items[k : k + width]
             n = 1
@@ -181,12 +194,14 @@ def fold(items: list, widest: int = 8) -> list:
                 n += 1
             if n > 1:
                 out.append(body[0] if width == 1 and body[0][0] == "+" else ["+", body])
+                sums.append(sum(held[k : k + n * width]))
                 k += n * width
             else:
                 out.append(items[k])
+                sums.append(held[k])
                 k += 1
-        items = out
-    return items
+        items, held = out, sums
+    return items, held
 
 
 def keys(items: list) -> list[str]:
@@ -215,30 +230,44 @@ def infer(streams: list[str]) -> str:
     return json.dumps(out or [])
 
 
-def slot_roles(wrapper: list) -> set[str]:
-    found: set[str] = set()
-    for item in wrapper:
-        if item[0] == "#":
-            found.add(item[1])
-        elif item[0] in "+?":
-            found |= slot_roles(item[1])
-    return found
+@lru_cache(maxsize=512)
+def wrapper_keys(wrapper: str) -> list[str]:
+    return keys(json.loads(wrapper))
+
+
+def match(items: list[str], wrapper: str) -> list[int]:
+    """The place in the wrapper of each item of a signature, -1 where it has none; a signature is a subsequence of its host's wrapper."""
+    where, at, out = wrapper_keys(wrapper), 0, []
+    for item in items:
+        k = at
+        while k < len(where) and where[k] != item:
+            k += 1
+        out.append(k if k < len(where) else -1)
+        at = k + 1 if k < len(where) else at
+    return out
 
 
-@lru_cache(maxsize=512)
-def wanted_role(wrapper: str) -> str:
-    return "article" if "article" in slot_roles(json.loads(wrapper)) else "plain"
+def in_slot(slot: int, text: int) -> int:
+    """Identifier of a text, itself given by its hash, in a slot."""
+    return int.from_bytes(blake2b(b"%d|%d" % (slot, text), digest_size=8).digest(), "little", signed=True)
 
 
-def extract(page: str, wrapper: str, template: frozenset[str] = frozenset()) -> str:
-    """The texts of the slots that the wrapper wants, joined; pages without such a slot fall back on their plain ones."""
+def hashed(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def extract(page: str, wrapper: str, template: frozenset[int] = frozenset()) -> str:
+    """The texts of a page's article slots, else of its plain ones, without those that are template in their slots of the wrapper."""
     stream = blocks(page)
     texts = [t[1] for t in stream if t[0] == "#"]
-    of = roles(stream)
-    want = wanted_role(wrapper)
-    if want == "article" and not any(r == "article" for r, _ in of):
-        want = "plain"
-    return " ".join(t for t, (r, path) in zip(texts, of) if r == want and not (want == "plain" and f"{path}|{t}" in template))
+    of = [r for r, _ in roles(stream)]
+    own = [True] * len(texts)
+    if template:
+        items, held = placed(stream)
+        slots = [slot for slot, n in zip(match(keys(items), wrapper), held) for _ in range(n)]
+        own = [slot < 0 or in_slot(slot, hashed(t)) not in template for slot, t in zip(slots, texts)]
+    want = "article" if any(r == "article" and o for r, o in zip(of, own)) else "plain"
+    return " ".join(t for t, r, o in zip(texts, of, own) if r == want and o)
 
 
 def host_of(url: str | None) -> str:
@@ -247,29 +276,43 @@ def host_of(url: str | None) -> str:
 
 
 def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, wrapper, template): the wrapper of each host, and plain texts that stand at one place on most of its pages."""
+    """(host, wrapper, template): the wrapper of each host, and the texts that stand in one slot of it on most of its distinct pages."""
     def streams(batches):
         for batch in batches:
-            host, sig, plain = [], [], []
+            host, sig, held, texts = [], [], [], []
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 stream = blocks(page or "")
+                items, counts = placed(stream)
                 host.append(host_of(url))
-                sig.append(json.dumps(signature(stream)))
-                of = roles(stream)
-                # only pages without an article need their template's texts told from their own
-                free = [] if any(r == "article" for r, _ in of) else sorted({f"{p}|{t}" for t, (r, p) in zip((x[1] for x in stream if x[0] == "#"), of) if r == "plain"})
-                plain.append(free)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(sig, pa.string()), pa.array(plain, pa.list_(pa.string()))], names=["host", "signature", "plain"])
-
-    rows = pages.select("url", "html").mapInArrow(streams, "host string, signature string, plain array<string>")
+                sig.append(json.dumps(items))
+                held.append(counts)
+                texts.append([hashed(t[1]) for t in stream if t[0] == "#"])
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(sig, pa.string()), pa.array(held, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.int64()))], names=["host", "signature", "held", "texts"])
+
+    def slots(batches):
+        for batch in batches:
+            hosts, found = [], []
+            for host, sig, held, texts, wrapper in zip(*(c.to_pylist() for c in batch.columns)):
+                at = [slot for slot, n in zip(match(keys(json.loads(sig)), wrapper), held) for _ in range(n)]
+                ids = sorted({in_slot(slot, t) for slot, t in zip(at, texts) if slot >= 0})
+                hosts += [host] * len(ids)
+                found += ids
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "text"])
+
+    rows = pages.select("url", "html").mapInArrow(streams, "host string, signature string, held array<int>, texts array<long>")
     rows = scratch.write(rows, "streams")
     distinct = rows.groupBy("host", "signature").agg(F.count("*").alias("n"))
     one = lambda pdf: pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [infer(sorted(pdf["wrapper"]))]})
     shares = distinct.select("host", F.pmod(F.xxhash64("signature"), F.lit(SHARES)).alias("share"), F.col("signature").alias("wrapper"))
     partial = shares.groupBy("host", "share").applyInPandas(one, "host string, wrapper string")
-    whole = partial.groupBy("host").applyInPandas(one, "host string, wrapper string")
-    total = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    often = rows.select("host", F.explode("plain").alias("text")).groupBy("host", "text").agg(F.count("*").alias("n")).filter("n >= 3")
+    whole = scratch.write(partial.groupBy("host").applyInPandas(one, "host string, wrapper string"), "whole")
+    # one page of each set of texts
+    content = rows.withColumn("content", F.xxhash64(F.array_sort(F.array_distinct("texts"))))
+    single = content.groupBy("host", "content").agg(F.min(F.struct("signature", "held", "texts")).alias("p")).select("host", "p.*")
+    single = scratch.write(single, "single")
+    total = single.groupBy("host").agg(F.count("*").alias("pages"))
+    often = single.join(whole, "host").select("host", "signature", "held", "texts", "wrapper").mapInArrow(slots, "host string, text long")
+    often = often.groupBy("host", "text").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES)
     often = often.join(total, "host").filter("2 * n > pages").groupBy("host").agg(F.collect_list("text").alias("template"))
     return scratch.write(whole.join(often, "host", "left"), "wrappers")
 
