@@ -324,6 +324,17 @@ def test_html_slots_come_from_the_wrapper(spark):
     assert all(got[200 + k] == f"read {k}" for k in range(4))
 
 
+def test_html_copies_are_one_page(spark):
+    page = "<body><div><p>copied story</div><div><p>call us</div></body>"
+    rows = [(k, f"http://b.example/{k}", page) for k in range(9)]
+    rows += [(100 + k, f"http://c.example/{k}", page if k < 9 else f"<body><div><p>story {k}</div><div><p>call us</div></body>") for k in range(13)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(df).collect()}
+    # one distinct page does not tell template from content; five do
+    assert all(got[k] == "copied story call us" for k in range(9))
+    assert [got[100 + k] for k in range(13)] == ["copied story"] * 9 + [f"story {k}" for k in range(9, 13)]
+
+
 def test_wrapper_alignment():
     a, b = (html_extract.signature(html_extract.blocks(f"<body>{x}</body>")) for x in ("<p>a</p><p>b</p>", "<h1>t</h1><p>a</p>"))
     wrapper = html_extract.align(a, b)

@@ -326,16 +326,16 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            page_id, url, page, wrapper, template = batch.columns
+            page_id, url, page, host, wrapper, template = batch.columns
             known: dict = {}
             texts = []
-            for p, w, t in zip(page.to_pylist(), wrapper.to_pylist(), template.to_pylist()):
-                if w not in known:
-                    known[w] = frozenset(t or ())
-                texts.append(extract(p or "", w or "[]", known[w]))
+            for p, h, w, t in zip(page.to_pylist(), host.to_pylist(), wrapper.to_pylist(), template.to_pylist()):
+                if h not in known:  # hosts can have one wrapper and different templates
+                    known[h] = frozenset(t or ())
+                texts.append(extract(p or "", w or "[]", known[h]))
             yield pa.RecordBatch.from_arrays([page_id, url, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     # the wrappers' table is written, so its size is known and Spark broadcasts it only under its own threshold
-    rows = pages.withColumn("host", host).join(found, "host", "left").select("page_id", "url", "html", "wrapper", "template")
+    rows = pages.withColumn("host", host).join(found, "host", "left").select("page_id", "url", "html", "host", "wrapper", "template")
     return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
