@@ -97,6 +97,16 @@ def test_pii_discovers_from_contexts(spark):
     assert pii.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_pii_discovers_general_forms(spark):
+    cards = [f"{c[:4]} {c[4:8]} {c[8:12]} {c[12:]}" for c in (str(4539148803436000 + i) for i in range(900)) if base_spans(c)][:60]
+    rows = [f"pay {c} now" for c in cards]
+    rows += [f"call +1 (555) 010-{1000 + k} today" for k in range(60)] + [f"mail ann.lee@h{chr(97 + k % 26)}{chr(97 + k // 26)}.example soon" for k in range(60)] + [f"host 10.0.{k}.7 up" for k in range(60)]
+    hidden = {"pay 4539 1488 0343 6468 now": "card:4:23", "call 1 (555) 010-2222 today": "phone:5:21", "call (1555) 010-2222 today": "phone:6:20", "mail bob at example.org soon": "email:5:23", "mail bob(at)example.org soon": "email:5:23", "host 9.9.300.1 up": "ip:5:14", "room 1 (555) 010-2222 today": "", "look at example.org soon": "", "version 9.9.300.1 up": "", "call 12 today": ""}
+    rows += list(hidden)
+    got = by_id(pii.digest(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
+    assert {rows[i]: got[i]["spans"] for i in range(240, len(rows))} == hidden
+
+
 def test_quality_counts(unique, docs):
     got = by_id(quality.digest(unique))
     for i, t in texts(unique).items():

@@ -1,12 +1,14 @@
 """Personal data by bootstrapped contextual extraction, in built-in functions only.
 
 Four kinds of identifiers with a checkable form (email, ip, card, phone) are the seeds.
-The word before a seed and the shape of its characters make a lexical pattern.  Strings
-with digits that are no seeds are candidates.  Patterns and strings form a graph: a
+The word before a seed and its general form make a lexical pattern.  Strings of such
+forms that are no seeds are candidates: words with @ or with "at" written out, dotted
+numbers, and digits in groups.  Patterns and strings form a graph: a
 pattern is scored by the strings it takes up, a string by the patterns it stands in, and
 the scores are exchanged for a fixed number of rounds over the whole corpus.  Candidates
 in patterns that stay above a threshold are identifiers that no form check finds, such as
-card numbers with a wrong check digit or phone numbers without the plus sign.
+card numbers with a wrong check digit, phone numbers without the plus sign, dotted numbers
+out of range, or addresses with "at" and "dot".
 
 Positions are code points, ends exclusive.  Defined results: null text counts as empty;
 rows are handled one by one, so repeated rows give repeated results and null ids pass
@@ -33,8 +35,15 @@ FORMS = {
 #: What a text must hold for a form to be looked for.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 KINDS = list(FORMS)
-#: A string with a digit, without the signs around it.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: Strings that could be meant as one of the kinds: words with @, or "at" written out before a dotted name; runs of digit groups
+#: with up to three signs between them, which take in dotted numbers.
+AT = r"(?:\x20?[(\[]at[)\]]\x20?|\x20at\x20)"
+DOT = r"(?:\.|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)"
+CANDIDATE = (
+    r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D@]*+@[^\x20\x09-\x0D]*+"
+    rf"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{AT}[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)++"
+    r"|(?<![\p{L}\p{N}])[(]?[0-9](?:[\x20().-]{0,3}+[0-9])*+(?![\p{L}\p{N}])"
+)
 
 
 @dataclass(frozen=True)
@@ -44,8 +53,6 @@ class Settings:
     support: int = 5
     pattern_score: float = 0.8
     string_score: float = 0.8
-    #: Digits that a string needs to be looked at as an identifier.
-    digits: int = 7
 
 
 def digits_of(m: Column) -> Column:
@@ -105,8 +112,14 @@ def spans(text: Column, form: str, ok, needs: str = "") -> Column:
 
 
 def shape(m: Column) -> Column:
-    """Runs of digits by their length, runs of letters as one sign, other characters as they are."""
-    return F.regexp_replace(F.regexp_replace(m, r"\p{L}+", "a"), "[0-9]", "9")
+    """The general form of a string: an address, a dotted number of four groups, or so many digits whatever stands between them."""
+    dotted = m.rlike(r"^[^0-9]*[0-9]+(\.[0-9]+){3}[^0-9]*$")
+    return F.when(m.rlike(rf"@|[^0-9()\[\]]{AT}|{AT}[A-Za-z]"), F.lit("a@a")).when(dotted, F.lit("9.9.9.9")).otherwise(F.concat(F.lit("9x"), F.length(digits_of(m))))
+
+
+def possible(m: Column) -> Column:
+    """Whether a seed can have the string's general form: no valid card or phone has fewer than 8 digits or more than 19."""
+    return ~shape(m).startswith("9x") | F.length(digits_of(m)).between(8, 19)
 
 
 def before(text: Column, start: Column) -> Column:
@@ -124,15 +137,15 @@ def mentions(docs: DataFrame, settings: Settings) -> DataFrame:
         (s["start"] + F.length(F.regexp_extract(s["value"], r"^[^\p{L}\p{N}]*", 0))).alias("start"),
         (s["end"] - F.length(F.regexp_extract(s["value"], r"[^\p{L}\p{N}]*$", 0))).alias("end"),
         F.regexp_replace(s["value"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("value"),
+        s["start"].alias("word"),
     )
-    many = lambda m: F.length(digits_of(m)) >= settings.digits
-    rows = rows.withColumn("seeds", seeds).withColumn("found", spans(F.col("text"), CANDIDATE, many))
+    rows = rows.withColumn("seeds", seeds).withColumn("found", spans(F.col("text"), CANDIDATE, possible))
     others = F.filter(F.transform("found", trim), lambda s: ~F.exists("seeds", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    context = lambda kind: lambda s: F.struct(kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), before(F.col("text"), s["start"]).alias("left"), shape(s["value"]).alias("shape"))
+    context = lambda kind, at="start": lambda s: F.struct(kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), before(F.col("text"), s[at]).alias("left"), shape(s["value"]).alias("shape"))
     return rows.select(
         "doc_id", *KINDS,
         F.transform("seeds", context(lambda s: s["kind"])).alias("seeds"),
-        F.transform(others, context(lambda s: F.lit(None).cast("string"))).alias("others"),
+        F.transform(others, context(lambda s: F.lit(None).cast("string"), "word")).alias("others"),
     )
 
 
