@@ -296,12 +296,28 @@ def test_suffix_dedup(spark, unique, docs):
     assert suffix_dedup.digest(docs).count() == len(TEXTS) + 2 and suffix_dedup.digest(docs.limit(0)).count() == 0
 
 
-def test_index_family_has_few_levels():
+def test_suffix_dedup_splits_hot_cores_and_reads_long_texts(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(300)]
+    passage, long = " ".join(rng.choice(words, 25)), " ".join(rng.choice(words, 250_000))
+    rows = {k: " ".join(rng.choice(words, 12)) + passage + " ".join(rng.choice(words, 12)) for k in range(40)} | {100: long, 101: long[400_000:400_900], 102: passage}
+    docs = spark.createDataFrame([*rows.items(), (None, passage), (None, passage), (7, passage)], "doc_id long, text string").repartition(3)
+    whole, split = ({(r["doc_id"], r["n_bytes"]): (r["spans"], r["kept"]) for r in suffix_dedup.remove_repeats(docs, hot).collect()} for hot in (1 << 18, 4))
+    assert whole == split and len(long) > 1_000_000
+    want = removed(rows)
+    assert all((n, sum(s["end"] - s["start"] for s in spans), len(spans), hashlib.sha256(kept).hexdigest()) == want[i] for (i, n), (spans, kept) in whole.items() if i is not None and (i != 7 or n > len(passage)))
+    assert whole[None, len(passage)][1] == b"" and whole[7, len(passage)][1] == b""  # smaller documents have the passage
+
+
+def test_index_family():
     rng = np.random.default_rng(0)
-    family, zero = suffix_dedup.IndexFamily(), np.zeros(100, np.int64)
+    family, text = suffix_dedup.IndexFamily(), rng.integers(97, 123, 40_000).astype(np.uint8).tobytes()
     for k in range(64):
-        family.add(rng.integers(0, 1 << 63, 100).astype(np.uint64), rng.integers(0, 1 << 63, 100).astype(np.uint64), zero, zero, zero + k, zero, zero)
-    assert len(family.levels) <= 8 and sum(map(len, family.levels)) == 6400
+        assert not len(family.add([text[600 * k : 600 * k + 80], text[600 * k : 600 * k + 80]], np.array([k, k]))[0])  # one document never removes its own
+    assert len(family.levels) <= 8 and sum(len(level) for level, _ in family.levels) == 64 * 31
+    assert all((level[1:] > level[:-1]).all() for level, _ in family.levels)
+    piece, a, b = family.add([b"\0" * 9 + text[610:675] + b"\0"], np.array([99]))
+    assert (piece.tolist(), a.tolist(), b.tolist()) == ([0], [9], [74])
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var x = "</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li>Home</ul></nav>

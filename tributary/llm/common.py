@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 #: White space between words: blank, and code points 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's own setting: a plan's shuffle files are deleted when it has run, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,16 +43,19 @@ class Scratch:
         Scratch.live.append(self)
         atexit.register(self.clear)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+    def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+        """The rows as a table; shuffle files of the plan that made them go as soon as it is written."""
+        path, before = f"{self.root}/{name}", self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", compression).parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of plans that nobody holds any more; it does so when the driver collects garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, name: str = "") -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))

@@ -170,7 +170,6 @@ def repeated_runs(rows: DataFrame, min_lines: int, min_words: int, scratch: Scra
     # joins that move texts are sort-merge joins at every size, so what is measured on small inputs holds on large ones
     moved = scratch.write(rows.select("row", "text").hint("merge").join(hits, "row").mapInArrow(texts, TEXT), "several")
     scratch.drop("rest")
-    scratch.release()
     original = moved.filter("is_first").select("h", F.col("chunk").alias("original")).dropDuplicates(["h"])
     same = moved.filter("NOT is_first").hint("merge").join(original, "h").filter(F.col("chunk") == F.col("original"))
     return same.select("row", "at", "n")
@@ -206,7 +205,6 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     cut = rows.select("row", "doc_id", "text", chunk_ends(F.split("text", "\n", -1), window, divisor, max_lines).alias("ends"))
     gone = scratch.write(kept_parts(repeated_runs(cut, min_lines, min_words, scratch)), "gone")
     scratch.drop("several")
-    scratch.release()
     out = rows.hint("merge").join(gone, "row", "left")
     left = F.transform(F.array(F.split("text", "\n", -1)), lambda ls: F.flatten(F.transform("parts", lambda p: F.slice(ls, p["at"] + 1, p["n"]))))[0]
     out = out.withColumns({

@@ -275,22 +275,18 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), scratch: Scratch
     classes = scratch.write(full.withColumn("c", F.monotonically_increasing_id()), "classes")
     rows = scratch.write(rows.drop("signature"), "names")
     scratch.drop("sketch")
-    scratch.release()
 
     members = scratch.write(banded(classes, s), "bands")
     shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("pivot")).filter("n > 1").select("bucket", "pivot")
     members = scratch.write(members.join(shared, "bucket"), "members")
     scratch.drop("bands")
-    scratch.release()
 
     wanted = scratch.write(members.select("c").distinct().join(classes.select("c", "doc_id", "k1", "k2"), "c"), "wanted")
     sets = scratch.write(full_sets(docs, wanted, s), "sets")
-    scratch.release()
 
     pairs = members.filter("c <> pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
     links = scratch.write(verified(surviving(pairs, classes, s), sets, s), "links")
     label = components(links, scratch, "label")
-    scratch.release()
     # members left to compare: the pivot of a bucket has been, and members of one component need not be
     named = members.filter("c <> pivot").select("bucket", "c").join(label, F.col("c") == F.col("node"), "left")
     named = scratch.write(named.select("bucket", "c", F.coalesce("label", "c").alias("label")), "left")
@@ -304,7 +300,6 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), scratch: Scratch
     named = scratch.write(named, "named")
     for done in ("sets", "members", "wanted", "left", "open", "classes", "cluster-members"):
         scratch.drop(done)
-    scratch.release()
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     reach = scratch.write(named.join(least, "label").select("k1", "k2", "component_id"), "reach")
     out = rows.select("doc_id", "n_shingles", "k1", "k2").join(reach, ["k1", "k2"], "left")

@@ -1,24 +1,28 @@
 """Suffix-array dedup with a logarithmic family of indexes.
 
 Bytes of a text go when they lie in a 50-byte string that also starts in a document with a
-smaller doc_id.  The suffixes that are indexed are chosen by content: every 50-byte window
-belongs to the smallest hash among its 16-byte substrings, so equal windows belong to equal
-hashes wherever they stand, and neighbouring windows with one hash form a run.  A run is one
-entry: its hash, the hash of all its bytes, document and number.
-
-Entries are dealt out by their hash.  Each task reads its share in order of doc_id, in batches:
-a batch becomes a sorted array, is merge-scanned against the sorted arrays of the levels before
-it, and is added as a new level; levels of about equal size merge, so there are as many as the
-logarithm of the share and an entry is merged as often.  A run that stands in a smaller document
-byte for byte goes whole.  Runs that share the hash but not all bytes (the ends of a match) are
-settled window by window, comparing the 50 bytes themselves.  Of the 34 bytes that a window has
-beside the substring at least 17 lie on one side, so a run is only settled if the substring with 17
-bytes before it, or with 17 after it, stands in another document too; a run in which the substring
-stands more than once is always settled.
+smaller doc_id.
+
+Which suffixes are indexed is chosen by content: every 50-byte window belongs to the place of the
+smallest hash among its 16-byte substrings, its anchor, so equal windows have their anchors at the
+same distance.  The windows of one anchor make a stretch of text; it is cut in two, so that all
+windows of a part share 33 bytes, the part's core.
+
+1. Hashes of cores, packed in arrays, are dealt out and sorted; a stretch whose core stands in one row
+   alone cannot repeat and is left out.  Each task first combines what it has read itself, so of a core
+   that very many rows share no more than one entry a task is dealt out.
+2. The bytes of the stretches left are dealt out by core.  Each task takes its share in order of doc_id,
+   in batches (``IndexFamily``): a batch gets a suffix array (the windows sorted by their bytes), is
+   merge-scanned against the arrays of the levels before it, and windows not met before become a new
+   level; levels of about equal size merge, so there are as many as the logarithm of the share.  A window
+   goes when its 50 bytes, not a hash, were met in a smaller doc_id.  Matches are given back as
+   intervals.  Equal stretches are combined before they are dealt out.
+3. A core that more stretches share than ``hot`` is split by its next bytes: half of the windows share
+   a longer core, down to single windows, whose smallest doc_id is found by a grouped minimum.
 
 Defined results: null text has no bytes; null doc_ids are larger than all others; rows with the
-same doc_id never remove each other's bytes; texts under 50 bytes lose nothing; an empty table
-gives an empty table; other columns are not read.
+same doc_id never remove each other's bytes; texts under 50 bytes lose nothing; long texts are read in
+parts of bounded size that overlap; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,299 +42,397 @@ from tributary.llm.pieces import slices
 
 LENGTH, GRAM = 50, 16
 SPREAD = LENGTH - GRAM + 1
+#: Distances of a window's start from its anchor, of the two parts of a stretch.
+PARTS = ((0, SPREAD // 2), (SPREAD // 2 + 1, SPREAD - 1))
 LAST = (1 << 63) - 1
-HALF = (LENGTH - GRAM + 1) // 2
-#: Entries of a batch of the index family, and bits of an entry's code for the hash of either side of its substring.
-BATCH, SIDE = 1 << 17, 13
-#: The side of a run that ends too early to be shared, and of one whose substring stands in it more than once.
-NONE, MANY = 0, 1
+#: Windows hashed at a time; entries and stretches of a task that are combined before they are dealt out; stretches of a batch of the family.
+WINDOWS, ENTRIES, STRETCHES, BATCH = 1 << 17, 1 << 20, 1 << 18, 1 << 14
+#: Stretches of one core that a single task takes.
+HOT = 1 << 18
+KEY_BYTES = 6
+LOW = np.uint64(0xFFFFFFFF)
+STRETCH = "row long, doc long, start int, stop int, anchor int, low int, high int, core long, piece binary"
+
+
+class Text:
+    """Texts one after another, with the eight bytes that follow each place as numbers."""
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = b"".join(texts) + bytes(64)
+        self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        self.begins = self.ends - [len(t) for t in texts]
+        self.words = np.ndarray((len(self.raw) - 7,), "<u8", self.raw, strides=(1,))
+        self.size = len(self.raw) - 64
+        starts = np.zeros(self.size + 1, np.int8)
+        enough = self.ends - self.begins >= LENGTH
+        starts[self.begins[enough]] = 1
+        starts[self.ends[enough] - LENGTH + 1] = -1
+        self.valid = np.cumsum(starts[: self.size], dtype=np.int8).view(bool)
+
+    def stretches(self):
+        """(first window, last window, anchor) of each stretch, as places, in parts of bounded size."""
+        for lo in range(0, self.size, WINDOWS):
+            m = min(WINDOWS, self.size - lo)
+            n = min(m + SPREAD - 1, len(self.words) - 8 - lo)
+            h = self.words[lo : lo + n] * np.uint64(0xFF51AFD7ED558CCD)
+            h ^= h >> np.uint64(32)
+            h += self.words[lo + 8 : lo + 8 + n]
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h &= ~LOW
+            h |= np.arange(n, dtype=np.uint64)  # of equal hashes the first place counts
+            least, width = h, 1
+            while 2 * width <= SPREAD:
+                least = np.minimum(least[:-width], least[width:])
+                width *= 2
+            least = np.minimum(least[:m], least[SPREAD - width : SPREAD - width + m])
+            anchor, valid = (least & LOW).astype(np.int64), self.valid[lo : lo + len(least)]
+            edge = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1]), [True]])
+            first, last = np.flatnonzero(edge[:-1] & valid), np.flatnonzero(edge[1:] & valid)
+            if len(first):
+                yield first + lo, last + lo, anchor[first] + lo
+
+    def core(self, anchor: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Hash of the bytes that all windows share whose starts are ``low`` to ``high`` before the anchor."""
+        start, length = anchor - low, LENGTH - (high - low)
+        x = np.full(len(anchor), low * 64 + high + 1, np.uint64)
+        for k in [*range(0, length - 8, 8), length - 8]:
+            x = mixed(x ^ self.words[start + k]) + np.uint64(k)
+        return x
+
+    def parts(self):
+        """(text, anchor within it, low, high, core) of the parts of all stretches."""
+        for first, last, anchor in self.stretches():
+            text = np.searchsorted(self.ends, first, side="right")
+            low, high = anchor - last, anchor - first
+            for a, b in PARTS:
+                here = np.flatnonzero((low <= b) & (high >= a))
+                t = text[here]
+                yield t, anchor[here] - self.begins[t], np.maximum(low[here], a), np.minimum(high[here], b), self.core(anchor[here], a, b)
+
+
+def several(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by key, where keys begin in it, and which of them stand in more than one row."""
+    order = np.argsort(key, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    return order, begin, np.minimum.reduceat(row[order], begin) < np.maximum.reduceat(row[order], begin)
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as far as asked for."""
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The lower ``width`` bytes of numbers, first all lowest ones, then all second ones."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-    base = 0x9E3779B97F4A7C15
-    inverse = pow(base, -1, 1 << 64)
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * n, x, np.uint64))]) for x in (self.base, self.inverse))
-        return self.up, self.down
-
-
-POWERS = Powers()
-
-
-def runs(raw: bytes, ends: np.ndarray):
-    """Runs of the texts that end at ``ends`` in ``raw``: (text, number within the text, first window, last window, hash, hash of the bytes, of the left and of the right side)."""
-    n = len(raw)
-    offsets = np.concatenate([[0], ends]).astype(np.int64)
-    valid = np.zeros(n + 1, np.int64)
-    enough = np.flatnonzero(np.diff(offsets) >= LENGTH)
-    if not len(enough):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none
-    np.add.at(valid, offsets[enough], 1)
-    np.add.at(valid, offsets[enough + 1] - LENGTH + 1, -1)
-    valid = np.cumsum(valid)[:n] > 0
-    padded = raw + bytes(4 * SPREAD)
-    at = lambda k: np.ndarray((n + 2 * SPREAD,), "<u8", padded, offset=k, strides=(1,))
-    h = mixed(at(0) * np.uint64(0xFF51AFD7ED558CCD) ^ mixed(at(8) + np.uint64(0xC4CEB9FE1A85EC53)))
-    least, width = h, 1
-    while 2 * width <= SPREAD:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    least = np.minimum(least[: n], least[SPREAD - width : SPREAD - width + n])
-    first = valid.copy()
-    first[1:] &= (least[1:] != least[:-1]) | ~valid[:-1]
-    first[offsets[enough]] = True
-    s0 = np.flatnonzero(first)
-    text = np.searchsorted(offsets, s0, side="right") - 1
-    s1 = np.minimum(np.concatenate([s0[1:], [n]]) - 1, offsets[text + 1] - LENGTH)
-    number = np.arange(len(s0)) - np.searchsorted(text, text)
-    up, down = POWERS.upto(n + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(np.frombuffer(raw, np.uint8).astype(np.uint64) * up[:n])])
-    span = lambda a, b: mixed((total[b] - total[a]) * down[a])
-    whole = mixed(span(s0, s1 + LENGTH) + mixed((s1 - s0).astype(np.uint64) + np.uint64(1)))
-    # where the substring stands in the run: if once, in all of its windows
-    gram, place, times = least[s0], s1.copy(), np.zeros(len(s0), np.int64)
-    for k in range(-SPREAD + 1, SPREAD):
-        p = s1 + k
-        here = (p >= s0) & (h[np.minimum(np.maximum(p, 0), len(h) - 1)] == gram)
-        times += here
-        place[here] = p[here]
-    times[s1 - s0 >= SPREAD] = 2
-    begin, end = offsets[text], offsets[text + 1]
-    left, right = place - HALF, place + GRAM + HALF
-    side = lambda v, ok: np.where(times != 1, MANY, np.where(ok, 2 + (v % np.uint64((1 << SIDE) - 2)).astype(np.int64), NONE))
-    before = side(span(np.maximum(left, begin), place + GRAM), left >= begin)
-    after = side(span(place, np.minimum(right, end)), right <= end)
-    return text, number, s0 - offsets[text], s1 - offsets[text], gram, whole, before, after
-
-
-class Level:
-    """Sorted entries: key of (hash, bytes), hash, sides, first document and where in it."""
-
-    def __init__(self, key, gram, before, after, doc, row, number):
-        self.key, self.gram, self.before, self.after, self.doc, self.row, self.number = key, gram, before, after, doc, row, number
-
-    def __len__(self):
-        return len(self.key)
-
-    def merged(self, other: Level) -> Level:
-        order = np.argsort(np.concatenate([self.key, other.key]), kind="stable")
-        return Level(*(np.concatenate([a, b])[order] for a, b in zip(vars(self).values(), vars(other).values())))
+def from_planes(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = raw.reshape(width, n).T
+    return out.view("<u8").ravel()
 
 
-class IndexFamily:
-    """Levels of sorted entries; ``add`` takes a batch in order of doc_id and says which entries stand in a smaller document."""
+def place(anchor, low, high):
+    """Anchor and distances in one number."""
+    return (anchor.astype(np.uint64) << np.uint64(16)) | (low.astype(np.uint64) << np.uint64(8)) | high.astype(np.uint64)
 
-    def __init__(self):
-        self.levels: list[Level] = []
-
-    def add(self, gram, whole, before, after, doc, row, number) -> np.ndarray:
-        key = mixed(gram + mixed(whole))
-        order = np.lexsort((doc, key))
-        key, gram, before, after, doc, row, number = (x[order] for x in (key, gram, before, after, doc, row, number))
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        first = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        for level in self.levels:
-            at = np.searchsorted(level.key, key)
-            at[at == len(level)] = 0
-            hit = level.key[at] == key
-            first[hit] = np.minimum(first[hit], level.doc[at[hit]])
-        new = first == doc  # runs that a document repeats itself stay too: each may be settled
-        if new.any():
-            self.levels.append(Level(*(x[new] for x in (key, gram, before, after, doc, row, number))))
-            while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
-                last = self.levels.pop()
-                self.levels[-1] = self.levels[-1].merged(last)
-        out = np.zeros(len(order), bool)
-        out[order] = first < doc
-        return out
-
-    def shared(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row, number) of first entries that may share a window, but not all bytes, with one of another document."""
-        if not self.levels:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        gram, before, after, doc, row, number = (np.concatenate([getattr(level, k) for level in self.levels]) for k in ("gram", "before", "after", "doc", "row", "number"))
-        keep = np.zeros(len(gram), bool)
-        for side in (before, after):
-            key = mixed(gram + mixed(side.astype(np.uint64)))
-            keep |= (side > MANY) & several(key, doc)
-        # a substring that stands twice in one run may meet any run of its hash
-        many = np.isin(gram, gram[before == MANY])
-        keep |= many & several(gram, doc)
-        return row[keep], number[keep]
-
-
-def several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which entries have a key that stands in more than one document."""
-    order = np.argsort(key, kind="stable")
-    start = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-    differ = np.minimum.reduceat(doc[order], start) < np.maximum.reduceat(doc[order], start)
-    out = np.zeros(len(key), bool)
-    out[order] = np.repeat(differ, np.diff(np.concatenate([start, [len(key)]])))
-    return out
 
+#: The place of an entry that only says that a core stands in several rows.
+MARK = np.uint64((1 << 48) - 1)
 
-def joined(texts: list[bytes]) -> tuple[bytes, np.ndarray]:
-    return b"".join(texts), np.cumsum([len(t) for t in texts])
 
-
-def packed(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n_bytes, sha, z): the compressed text of each row, null ids as the largest number."""
+def dealt(rows: DataFrame, partitions: int) -> DataFrame:
+    """(part, known, payload): entries (core, row, place) of parts of stretches, packed; ``known`` ones are shared for sure."""
     def run(batches):
-        for batch in batches:
-            press = zstandard.ZstdCompressor(level=1)
-            for lo, texts in slices(batch.column(2).cast(pa.binary())):
-                raw = [t or b"" for t in texts.to_pylist()]
-                m = len(raw)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, m), batch.column(1).slice(lo, m),
-                    pa.array([len(t) for t in raw], pa.int64()),
-                    pa.array([hashlib.sha256(t).hexdigest() for t in raw], pa.string()),
-                    pa.array([press.compress(t) for t in raw], pa.binary()),
-                ], names=["row", "doc_id", "n_bytes", "sha", "z"])
+        press, held, size = zstandard.ZstdCompressor(level=1), [], 0
+
+        def packed(part: int, known: bool, key, row, at):
+            return part, known, press.compress(np.int64(len(key)).tobytes() + planes(key, KEY_BYTES) * (not known) + planes(row, 8) + planes(at, 6))
+
+        def flush():
+            key, row, at = (np.concatenate(x) for x in zip(*held))
+            order, begin, shared = several(key, row)
+            known = np.zeros(len(key), bool)
+            known[order] = np.repeat(shared, np.diff(np.concatenate([begin, [len(key)]])))
+            marks = key[order[begin[shared]]]
+            out = [packed(int(row[0] % partitions), True, key[known], row[known], at[known])] if known.any() else []
+            key, row, at = (np.concatenate([x[~known], y]) for x, y in ((key, marks), (row, np.zeros(len(marks), np.int64)), (at, np.full(len(marks), MARK))))
+            to = (key >> np.uint64(48)) % np.uint64(partitions)
+            by = np.argsort(to, kind="stable")
+            cuts = np.searchsorted(to[by], np.arange(partitions + 1))
+            out += [packed(p, False, key[by[a:b]], row[by[a:b]], at[by[a:b]]) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.bool_(), pa.binary()))], names=["part", "known", "payload"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "row long, doc_id long, n_bytes long, sha string, z binary")
+        for batch in batches:
+            row = batch.column(0).to_numpy()
+            for lo, texts in slices(batch.column(1).cast(pa.binary())):
+                for text, anchor, low, high, core in Text([t or b"" for t in texts.to_pylist()]).parts():
+                    held.append((core, row[lo + text], place(anchor, low, high)))
+                    size += len(core)
+                if size >= ENTRIES:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    long_enough = rows.filter(F.octet_length("text") >= LENGTH)
+    return long_enough.select("row", "text").mapInArrow(run, "part int, known boolean, payload binary")
+
+
+def shared_places(entries: DataFrame, partitions: int) -> DataFrame:
+    """(row, place): parts of stretches whose core stands in several rows."""
+    def run(batches):
+        tool, held = zstandard.ZstdDecompressor(), []
 
+        def out(row, at):
+            order = np.lexsort((at, row))
+            for lo in range(0, len(order), ENTRIES):
+                some = order[lo : lo + ENTRIES]
+                yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(at[some].view(np.int64))], names=["row", "place"])
 
-def unpacked(column: pa.Array, least: int = 1 << 21):
-    """Texts of a column, in parts of a few megabytes, and where each part begins."""
-    tool, out, lo, size = zstandard.ZstdDecompressor(), [], 0, 0
-    for i, z in enumerate(column):
-        out.append(tool.decompress(z.as_buffer(), max_output_size=0))
-        size += len(out[-1])
-        if size >= least:
-            yield lo, out
-            out, lo, size = [], i + 1, 0
-    if out:
-        yield lo, out
+        for batch in batches:
+            for known, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = np.frombuffer(tool.decompress(payload.as_buffer()), np.uint8)
+                n = int(raw[:8].view("<i8")[0])
+                key, row, at = np.split(raw[8:], np.cumsum([KEY_BYTES * n * (not known), 8 * n]))
+                row, at = from_planes(row, n, 8).view(np.int64), from_planes(at, n, 6)
+                if known:
+                    yield from out(row, at)
+                else:
+                    held.append((from_planes(key, n, KEY_BYTES), row, at))
+        if held:
+            key, row, at = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order, begin, shared = several(key, row)
+            shared |= np.maximum.reduceat(at[order], begin) == MARK
+            keep = np.zeros(len(key), bool)
+            keep[order] = np.repeat(shared, np.diff(np.concatenate([begin, [len(key)]])))
+            keep &= at != MARK
+            yield from out(row[keep], at[keep])
+
+    return entries.repartition(partitions, "part").select("known", "payload").mapInArrow(run, "row long, place long")
+
+
+def padded(pieces: list[bytes]) -> np.ndarray:
+    """Pieces of different lengths as strings that sort and compare like them."""
+    width = max(map(len, pieces)) + 1
+    return np.frombuffer(b"".join([p.ljust(width - 1, b"\0") + bytes([len(p)]) for p in pieces]), f"S{width}")
+
+
+def first_of_equal(pieces: list[bytes], doc: np.ndarray) -> np.ndarray:
+    """For each piece the smallest document that has an equal one."""
+    words = padded(pieces)
+    order = np.argsort(words, kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], words[order][1:] != words[order][:-1]]))
+    out = np.empty(len(doc), np.int64)
+    out[order] = np.repeat(np.minimum.reduceat(doc[order], begin), np.diff(np.concatenate([begin, [len(doc)]])))
+    return out
 
 
-def entries(rows: DataFrame) -> DataFrame:
-    """(gram, code, doc, row, number): the runs of each text; code holds the hashes of both sides and, in the bits left, of the bytes."""
+def stretches(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows of STRETCH: the parts of stretches with their bytes, and without bytes those found in a smaller document already."""
     def run(batches):
+        held: list[tuple] = []
+
+        def flush():
+            row, doc, anchor, low, high, core, pieces = zip(*held)
+            doc = np.array(doc, np.int64)
+            found = first_of_equal(pieces, doc) < doc
+            start = [a - h for a, h in zip(anchor, high)]
+            columns = (row, doc, start, [s + len(p) for s, p in zip(start, pieces)], anchor, low, high, core, [None if f else p for f, p in zip(found, pieces)])
+            kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["row", "doc", "start", "stop", "anchor", "low", "high", "core", "piece"])
+
         for batch in batches:
-            row, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, texts in unpacked(batch.column(2)):
-                text, number, _, _, gram, whole, before, after = runs(*joined(texts))
-                if len(text):
-                    code = whole << np.uint64(2 * SIDE) | before.astype(np.uint64) << np.uint64(SIDE) | after.astype(np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(code.view(np.int64)), pa.array(doc[lo + text]), pa.array(row[lo + text]), pa.array(number.astype(np.int32))], names=["gram", "code", "doc", "row", "number"])
+            rows_, docs_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo, texts in slices(batch.column(2).cast(pa.binary())):
+                whole = Text(texts.to_pylist())
+                found = batch.column(3).slice(lo, len(texts))
+                at = found.flatten().to_numpy().view(np.uint64)
+                text = np.repeat(np.arange(len(texts)), pc.list_value_length(found).to_numpy())
+                anchor, low, high = (at >> np.uint64(16)).astype(np.int64), (at >> np.uint64(8) & np.uint64(255)).astype(np.int64), (at & np.uint64(255)).astype(np.int64)
+                place_ = anchor + whole.begins[text]
+                core = np.empty(len(at), np.int64)
+                for a, b in PARTS:
+                    here = (low >= a) & (high <= b)
+                    core[here] = whole.core(place_[here], a, b).view(np.int64)
+                raw = whole.raw
+                begin, end = (place_ - high).tolist(), (place_ - low + LENGTH).tolist()
+                held += zip([rows_[lo + t] for t in text], [docs_[lo + t] for t in text], anchor.tolist(), low.tolist(), high.tolist(), core.tolist(), [raw[b:e] for b, e in zip(begin, end)])
+                if len(held) >= STRETCHES:
+                    yield flush()
+                    held = []
+        if held:
+            yield flush()
+
+    asked = places.groupBy("row").agg(F.collect_list("place").alias("places"))
+    both = rows.select("row", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text").join(asked, "row")
+    return both.select("row", "doc", "text", "places").mapInArrow(run, STRETCH)
 
-    return rows.filter(F.col("n_bytes") >= LENGTH).select("row", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "z").mapInArrow(run, "gram long, code long, doc long, row long, number int")
 
+class IndexFamily:
+    """Levels of sorted windows, each with the first document that has it; ``add`` takes batches in order of doc_id."""
+
+    def __init__(self):
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def first(self, words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """For each window the smallest document so far that has it; new windows become a level."""
+        order = np.argsort(words, kind="stable")
+        ranked = words[order]
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        begin = np.flatnonzero(new)
+        array, first = ranked[begin], np.minimum.reduceat(doc[order], begin)
+        fresh = np.ones(len(array), bool)
+        for level, docs in self.levels:
+            at = np.searchsorted(level, array)
+            at[at == len(level)] = 0
+            hit = level[at] == array
+            first[hit] = np.minimum(first[hit], docs[at[hit]])
+            fresh &= ~hit
+        if fresh.any():
+            self.levels.append((array[fresh], first[fresh]))
+            while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) > len(self.levels[-2][0]):
+                (words_, docs_), (level, docs) = self.levels.pop(), self.levels.pop()
+                at = np.searchsorted(level, words_)
+                self.levels.append((np.insert(level, at, words_), np.insert(docs, at, docs_)))
+        out = np.empty(len(words), np.int64)
+        out[order] = first[np.cumsum(new) - 1]
+        return out
 
-def verdicts(found: DataFrame, partitions: int) -> DataFrame:
-    """(row, number, whole): runs that stand whole in a smaller document, and runs to be settled window by window."""
+    def add(self, pieces: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, from, to): the intervals of each piece that smaller documents have, in 50-byte strings."""
+        sizes = np.array([len(p) for p in pieces]) - LENGTH + 1
+        whole = first_of_equal(pieces, doc) < doc
+        found = [(np.flatnonzero(whole), np.zeros(whole.sum(), np.int64), sizes[whole] + LENGTH - 1)]
+        rest = np.flatnonzero(~whole)
+        if len(rest):
+            raw = np.frombuffer(b"".join([pieces[i] for i in rest]), np.uint8)
+            n = sizes[rest]
+            upto = np.cumsum(n)
+            of = np.repeat(np.arange(len(rest)), n)
+            within = np.arange(upto[-1]) - (upto - n)[of]
+            begins = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+            words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[begins[of] + within]).view(f"S{LENGTH}").ravel()
+            gone = self.first(words, doc[rest][of]) < doc[rest][of]
+            before, after = np.concatenate([[False], gone[:-1]]), np.concatenate([gone[1:], [False]])
+            start = np.flatnonzero(gone & (~before | (within == 0)))
+            stop = np.flatnonzero(gone & (~after | (within == n[of] - 1)))
+            found.append((rest[of[start]], within[start], within[stop] + LENGTH))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def matches(items: DataFrame, partitions: int) -> DataFrame:
+    """(row, start, stop) of what the index families find."""
     def run(batches):
         family, held, size = IndexFamily(), [], 0
 
         def take():
-            gram, code, doc, row, number = (np.concatenate(x) for x in zip(*held))
-            code, low = code.view(np.uint64), np.uint64((1 << SIDE) - 1)
-            hit = family.add(gram.view(np.uint64), code >> np.uint64(2 * SIDE), (code >> np.uint64(SIDE) & low).astype(np.int64), (code & low).astype(np.int64), doc, row, number.astype(np.int64))
-            return out(row[hit], number[hit], True)
-
-        def out(row, number, whole):
-            return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(number, pa.int64()), pa.array(np.full(len(row), whole))], names=["row", "number", "whole"])
+            row, doc, start = (np.concatenate([h[k] for h in held]) for k in range(3))
+            pieces = [p for h in held for p in h[3]]
+            piece, a, b = family.add(pieces, doc)
+            return pa.RecordBatch.from_arrays([pa.array(row[piece]), pa.array((start[piece] + a).astype(np.int32)), pa.array((start[piece] + b).astype(np.int32))], names=["row", "start", "stop"])
 
         for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
+            held.append((*(batch.column(k).to_numpy() for k in range(3)), batch.column(3).to_pylist()))
             size += batch.num_rows
             if size >= BATCH:
                 yield take()
                 held, size = [], 0
-        if held:
+        if size:
             yield take()
-        row, number = family.shared()
-        for lo in range(0, len(row), BATCH):
-            yield out(row[lo : lo + BATCH], number[lo : lo + BATCH], False)
 
-    return found.repartition(partitions, "gram").sortWithinPartitions("doc").mapInArrow(run, "row long, number long, whole boolean")
+    share = F.pmod("core", F.lit(64 * partitions)).cast("int").alias("share")
+    dealt_out = items.select("row", "doc", "start", "piece", share).repartition(partitions, "share").sortWithinPartitions("doc")
+    return dealt_out.select("row", "doc", "start", "piece").mapInArrow(run, "row long, start int, stop int")
 
 
-def windows(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(row, doc, start, end, piece): spans of whole runs, without a piece, and the windows of runs to be settled with their bytes."""
+def halves(items: DataFrame) -> DataFrame:
+    """Stretches cut in two parts whose windows share more bytes. ``items`` have their bounds a, b: the distances their core is taken over."""
     def run(batches):
         for batch in batches:
-            row, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            numbers, whole = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for lo, texts in unpacked(batch.column(2)):
-                text, number, s0, s1, *_ = runs(*joined(texts))
-                begin = np.searchsorted(text, np.arange(len(texts)))
-                cols: list[list] = [[], [], [], [], []]
-                for i, t in enumerate(texts):
-                    for k, w in zip(numbers[lo + i], whole[lo + i]):
-                        a, b = int(s0[begin[i] + k]), int(s1[begin[i] + k])
-                        spans = [(a, b + LENGTH, None)] if w else [(s, s + LENGTH, t[s : s + LENGTH]) for s in range(a, b + 1)]
-                        for start, end, piece in spans:
-                            for c, v in zip(cols, (row[lo + i], doc[lo + i], start, end, piece)):
-                                c.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["row", "doc", "start", "end", "piece"])
-
-    asked = found.groupBy("row").agg(F.collect_list("number").alias("numbers"), F.collect_list("whole").alias("whole"))
-    both = rows.select("row", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "z").join(asked, "row")
-    return both.select("row", "doc", "z", "numbers", "whole").mapInArrow(run, "row long, doc long, start int, end int, piece binary")
-
-
-def removed_spans(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, start, end): spans of bytes to remove, overlapping ones included."""
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = scratch.write(verdicts(entries(rows), partitions), "verdicts")
-    scratch.release()
-    spans = scratch.write(windows(rows, found), "windows")
-    scratch.release()
-    pieces = spans.filter(F.col("piece").isNotNull())
-    first = pieces.groupBy("piece").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("piece", "first")
-    settled = pieces.join(first, "piece").filter("first < doc").select("row", "start", "end")
-    return spans.filter(F.col("piece").isNull()).select("row", "start", "end").unionAll(settled)
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Per row: row, doc_id, n_bytes, sha of the text, spans (maximal, sorted) and kept, the bytes left (null where nothing goes)."""
-    scratch = Scratch(docs.sparkSession, "suffix")
-    rows = scratch.write(packed(docs), "rows")
-    asked = removed_spans(rows, scratch).groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+            out = []
+            for x in batch.to_pylist():
+                mid = (x["a"] + x["b"]) // 2
+                for a, b in ((x["a"], mid), (mid + 1, x["b"])):
+                    low, high = max(x["low"], a), min(x["high"], b)
+                    if low <= high:
+                        piece = x["piece"][x["high"] - high : x["high"] - high + LENGTH + high - low]
+                        core = piece[high - a : high - a + LENGTH - (b - a)]
+                        key = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=bytes([a, b])).digest(), "little", signed=True)
+                        start = x["anchor"] - high
+                        out.append(x | {"a": a, "b": b, "low": low, "high": high, "piece": piece, "core": key, "start": start, "stop": start + len(piece)})
+            yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
+
+    return items.mapInArrow(run, items.schema)
+
+
+def settled(items: DataFrame, partitions: int, scratch: Scratch, hot: int) -> DataFrame:
+    """(row, start, stop) of all repeats among stretches; cores of more than ``hot`` stretches are split by their next bytes."""
+    low, high = F.col("low"), F.col("high")
+    items = items.withColumns({"a": F.when(low <= PARTS[0][1], PARTS[0][0]).otherwise(PARTS[1][0]), "b": F.when(low <= PARTS[0][1], PARTS[0][1]).otherwise(PARTS[1][1])})
+    found, k = None, 0
+    while True:
+        crowded = scratch.write(items.groupBy("core").count().filter(F.col("count") > hot).select("core"), f"crowded{k}")
+        if crowded.isEmpty():
+            part = matches(items, partitions)
+            return part if found is None else found.unionAll(part)
+        part = matches(items.join(crowded, "core", "left_anti"), partitions)
+        found = part if found is None else found.unionAll(part)
+        more = items.join(crowded, "core", "left_semi")
+        single = more.filter("a = b")
+        first = single.groupBy("core", "piece").agg(F.min("doc").alias("first"))
+        found = found.unionAll(single.join(first, ["core", "piece"]).filter("first < doc").select("row", "start", "stop"))
+        items, k = scratch.write(halves(more.filter("a < b")), f"halves{k}"), k + 1
+
+
+def spans_of(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """The rows (row, doc_id, text) as a table, and (row, start, stop) of bytes to remove, overlapping ones included."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = scratch.write(rows, "rows", compression="zstd")
+    places = scratch.write(shared_places(dealt(rows, partitions), partitions), "places")
+    every = scratch.write(stretches(rows, places), "stretches", compression="zstd")
+    scratch.drop("places")
+    found = settled(every.filter(F.col("piece").isNotNull()), partitions, scratch, hot)
+    spans = scratch.write(found.unionAll(every.filter(F.col("piece").isNull()).select("row", "start", "stop")), "spans")
+    scratch.drop("stretches")
+    return rows, spans
+
+
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """Per row: doc_id, n_bytes, spans (maximal and sorted: start, end) and kept, the bytes left."""
+    rows, spans = spans_of(docs, Scratch(docs.sparkSession, "suffix"), hot)
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches):
         for batch in batches:
-            starts, ends = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for lo, texts in unpacked(batch.column(1)):
-                spans, kept = [], []
-                for i, t in enumerate(texts):
-                    a = np.array(starts[lo + i])
-                    order = np.argsort(a, kind="stable")
-                    a, b = a[order], np.maximum.accumulate(np.array(ends[lo + i])[order])
-                    new = np.concatenate([[True], a[1:] > b[:-1]])
-                    s, e = a[new], b[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(a) - 1]])]
-                    spans.append([{"start": int(x), "end": int(y)} for x, y in zip(s, e)])
-                    kept.append(b"".join(t[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(t)])))
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["row", "spans", "kept"])
-
-    cut = rows.select("row", "z").join(asked, "row").select("row", "z", "starts", "ends").mapInArrow(run, "row long, spans array<struct<start:int,end:int>>, kept binary")
-    scratch.release()
-    cut = scratch.write(cut.withColumn("kept_sha", F.sha2("kept", 256)), "cut")
-    return rows.select("row", "doc_id", "n_bytes", "sha").join(cut, "row", "left")
+            for lo, texts in slices(batch.column(1).cast(pa.binary())):
+                sizes, spans, kept = [], [], []
+                for t, found in zip(texts.to_pylist(), batch.column(2).slice(lo, len(texts)).to_pylist()):
+                    t, at, out, left = t or b"", 0, [], []
+                    for x in sorted(found or (), key=lambda x: x["start"]):
+                        if out and x["start"] <= out[-1]["end"]:
+                            out[-1]["end"] = max(out[-1]["end"], x["stop"])
+                        else:
+                            out.append({"start": x["start"], "end": x["stop"]})
+                    for x in out:
+                        left.append(t[at : x["start"]])
+                        at = x["end"]
+                    sizes.append(len(t))
+                    spans.append(out)
+                    kept.append(b"".join([*left, t[at:]]) if out else t)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, len(texts)), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())],
+                    names=["doc_id", "n_bytes", "spans", "kept"],
+                )
+
+    asked = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    both = rows.join(asked, "row", "left").select("doc_id", "text", "found")
+    return both.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    done = remove_repeats(docs.select("doc_id", "text")).drop("kept")
     lost = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
-    return done.select(
-        "doc_id", "n_bytes",
-        F.coalesce(lost, F.lit(0)).alias("n_removed"),
-        F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha", "sha").alias("kept_sha256"),
-    )
+    return remove_repeats(docs.select("doc_id", "text")).select(
+        "doc_id", "n_bytes", lost.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
 
 
 ORACLE = """
