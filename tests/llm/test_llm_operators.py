@@ -312,11 +312,12 @@ def test_suffix_dedup_splits_hot_cores_and_reads_long_texts(spark):
 def test_index_family():
     rng = np.random.default_rng(0)
     family, text = suffix_dedup.IndexFamily(), rng.integers(97, 123, 40_000).astype(np.uint8).tobytes()
+    pieces = lambda *x: suffix_dedup.Pieces(np.frombuffer(b"".join(x), np.uint8), np.array([len(p) for p in x]))
     for k in range(64):
-        assert not len(family.add([text[600 * k : 600 * k + 80], text[600 * k : 600 * k + 80]], np.array([k, k]))[0])  # one document never removes its own
+        assert not len(family.add(pieces(text[600 * k : 600 * k + 80], text[600 * k : 600 * k + 80]), np.array([k, k]))[0])  # one document never removes its own
     assert len(family.levels) <= 8 and sum(len(level) for level, _ in family.levels) == 64 * 31
     assert all((level[1:] > level[:-1]).all() for level, _ in family.levels)
-    piece, a, b = family.add([b"\0" * 9 + text[610:675] + b"\0"], np.array([99]))
+    piece, a, b = family.add(pieces(b"\0" * 9 + text[610:675] + b"\0"), np.array([99]))
     assert (piece.tolist(), a.tolist(), b.tolist()) == ([0], [9], [74])
 
 

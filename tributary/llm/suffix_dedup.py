@@ -27,8 +27,6 @@ parts of bounded size that overlap; an empty table gives an empty table; other c
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,12 +44,12 @@ SPREAD = LENGTH - GRAM + 1
 PARTS = ((0, SPREAD // 2), (SPREAD // 2 + 1, SPREAD - 1))
 LAST = (1 << 63) - 1
 #: Windows hashed at a time; entries and stretches of a task that are combined before they are dealt out; stretches of a batch of the family.
-WINDOWS, ENTRIES, STRETCHES, BATCH = 1 << 17, 1 << 20, 1 << 18, 1 << 14
+WINDOWS, ENTRIES, STRETCHES, BATCH = 1 << 17, 1 << 20, 1 << 18, 1 << 15
 #: Stretches of one core that a single task takes.
 HOT = 1 << 18
 KEY_BYTES = 6
 LOW = np.uint64(0xFFFFFFFF)
-STRETCH = "row long, doc long, start int, stop int, anchor int, low int, high int, core long, piece binary"
+STRETCH = "row long, doc long, start int, stop int, low int, high int, piece binary"
 
 
 class Text:
@@ -209,56 +207,114 @@ def shared_places(entries: DataFrame, partitions: int) -> DataFrame:
     return entries.repartition(partitions, "part").select("known", "payload").mapInArrow(run, "row long, place long")
 
 
-def padded(pieces: list[bytes]) -> np.ndarray:
-    """Pieces of different lengths as strings that sort and compare like them."""
-    width = max(map(len, pieces)) + 1
-    return np.frombuffer(b"".join([p.ljust(width - 1, b"\0") + bytes([len(p)]) for p in pieces]), f"S{width}")
+class Pieces:
+    """Byte strings one after another, of at most ``LENGTH + SPREAD`` bytes each."""
+
+    def __init__(self, raw: np.ndarray, sizes: np.ndarray):
+        self.raw, self.sizes = raw, sizes
+        self.begins = np.cumsum(sizes) - sizes
+
+    @classmethod
+    def cut(cls, raw: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> Pieces:
+        at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return cls(raw[at], sizes)
+
+    @classmethod
+    def of(cls, column: pa.Array) -> Pieces:
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        return cls(np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], np.diff(ends).astype(np.int64))
+
+    @classmethod
+    def joined(cls, parts: list[Pieces]) -> Pieces:
+        return cls(np.concatenate([p.raw for p in parts]), np.concatenate([p.sizes for p in parts]))
+
+    def take(self, which: np.ndarray) -> Pieces:
+        return Pieces.cut(self.raw, self.begins[which], self.sizes[which])
+
+    def column(self) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(self.sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(self.raw.tobytes())])
+
+    def first(self, doc: np.ndarray) -> np.ndarray:
+        """For each piece the smallest document that has an equal one."""
+        width = LENGTH + SPREAD
+        words = np.zeros((len(doc), width + 1), np.uint8)
+        words[:, :width][np.arange(width) < self.sizes[:, None]] = self.raw
+        words[:, width] = self.sizes
+        words = words.view(f"S{width + 1}").ravel()
+        order = np.argsort(words, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], words[order][1:] != words[order][:-1]]))
+        out = np.empty(len(doc), np.int64)
+        out[order] = np.repeat(np.minimum.reduceat(doc[order], begin), np.diff(np.concatenate([begin, [len(doc)]])))
+        return out
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All strings of ``LENGTH`` bytes, the piece of each and its place there."""
+        n = self.sizes - LENGTH + 1
+        of = np.repeat(np.arange(len(n)), n)
+        within = np.arange(len(of)) - (np.cumsum(n) - n)[of]
+        words = np.lib.stride_tricks.sliding_window_view(self.raw, LENGTH)[self.begins[of] + within]
+        return np.ascontiguousarray(words).view(f"S{LENGTH}").ravel(), of, within
+
+
+def merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal intervals of each row."""
+    order = np.lexsort((start, row))
+    row, start, stop = row[order], start[order].astype(np.int64), stop[order].astype(np.int64)
+    if not len(row):
+        return row, start, stop
+    rank = np.cumsum(np.concatenate([[False], row[1:] != row[:-1]])) << 32
+    far = np.maximum.accumulate(rank | stop)
+    begin = np.flatnonzero(np.concatenate([[True], (rank | start)[1:] > far[:-1]]))
+    return row[begin], start[begin], (far & 0xFFFFFFFF)[np.concatenate([begin[1:], [len(row)]]) - 1]
 
 
-def first_of_equal(pieces: list[bytes], doc: np.ndarray) -> np.ndarray:
-    """For each piece the smallest document that has an equal one."""
-    words = padded(pieces)
-    order = np.argsort(words, kind="stable")
-    begin = np.flatnonzero(np.concatenate([[True], words[order][1:] != words[order][:-1]]))
-    out = np.empty(len(doc), np.int64)
-    out[order] = np.repeat(np.minimum.reduceat(doc[order], begin), np.diff(np.concatenate([begin, [len(doc)]])))
-    return out
+def spans_batch(row, start, stop) -> pa.RecordBatch:
+    row, start, stop = merged(row, start, stop)
+    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["row", "start", "stop"])
 
 
 def stretches(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """Rows of STRETCH: the parts of stretches with their bytes, and without bytes those found in a smaller document already."""
+    """Rows of STRETCH: the parts of stretches with their bytes, and without bytes intervals found in a smaller document already."""
     def run(batches):
         held: list[tuple] = []
+        size = 0
 
         def flush():
-            row, doc, anchor, low, high, core, pieces = zip(*held)
-            doc = np.array(doc, np.int64)
-            found = first_of_equal(pieces, doc) < doc
-            start = [a - h for a, h in zip(anchor, high)]
-            columns = (row, doc, start, [s + len(p) for s, p in zip(start, pieces)], anchor, low, high, core, [None if f else p for f, p in zip(found, pieces)])
-            kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["row", "doc", "start", "stop", "anchor", "low", "high", "core", "piece"])
+            row, doc, start, low, high = (np.concatenate([h[k] for h in held]) for k in range(5))
+            pieces = Pieces.joined([h[5] for h in held])
+            gone = pieces.first(doc) < doc
+            found = spans_batch(row[gone], start[gone], (start + pieces.sizes)[gone])
+            n, rest = found.num_rows, np.flatnonzero(~gone)
+            none = lambda t: pa.nulls(n, t)
+            columns = [pa.concat_arrays(x) for x in (
+                (found.column(0), pa.array(row[rest])),
+                (none(pa.int64()), pa.array(doc[rest])),
+                (found.column(1), pa.array(start[rest].astype(np.int32))),
+                (found.column(2), pa.nulls(len(rest), pa.int32())),
+                (none(pa.int32()), pa.array(low[rest].astype(np.int32))),
+                (none(pa.int32()), pa.array(high[rest].astype(np.int32))),
+                (none(pa.binary()), pieces.take(rest).column()),
+            )]
+            return pa.RecordBatch.from_arrays(columns, names=["row", "doc", "start", "stop", "low", "high", "piece"])
 
         for batch in batches:
-            rows_, docs_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            row, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, texts in slices(batch.column(2).cast(pa.binary())):
-                whole = Text(texts.to_pylist())
+                ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+                raw = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
                 found = batch.column(3).slice(lo, len(texts))
                 at = found.flatten().to_numpy().view(np.uint64)
                 text = np.repeat(np.arange(len(texts)), pc.list_value_length(found).to_numpy())
-                anchor, low, high = (at >> np.uint64(16)).astype(np.int64), (at >> np.uint64(8) & np.uint64(255)).astype(np.int64), (at & np.uint64(255)).astype(np.int64)
-                place_ = anchor + whole.begins[text]
-                core = np.empty(len(at), np.int64)
-                for a, b in PARTS:
-                    here = (low >= a) & (high <= b)
-                    core[here] = whole.core(place_[here], a, b).view(np.int64)
-                raw = whole.raw
-                begin, end = (place_ - high).tolist(), (place_ - low + LENGTH).tolist()
-                held += zip([rows_[lo + t] for t in text], [docs_[lo + t] for t in text], anchor.tolist(), low.tolist(), high.tolist(), core.tolist(), [raw[b:e] for b, e in zip(begin, end)])
-                if len(held) >= STRETCHES:
+                low, high = (at >> np.uint64(8) & np.uint64(255)).astype(np.int64), (at & np.uint64(255)).astype(np.int64)
+                start = (at >> np.uint64(16)).astype(np.int64) - high
+                begin = start + np.concatenate([[0], ends])[text]
+                held.append((row[lo + text], doc[lo + text], start, low, high, Pieces.cut(raw, begin, LENGTH + high - low)))
+                size += len(at)
+                if size >= STRETCHES:
                     yield flush()
-                    held = []
-        if held:
+                    held, size = [], 0
+        if size:
             yield flush()
 
     asked = places.groupBy("row").agg(F.collect_list("place").alias("places"))
@@ -296,28 +352,28 @@ class IndexFamily:
         out[order] = first[np.cumsum(new) - 1]
         return out
 
-    def add(self, pieces: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def add(self, pieces: Pieces, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(piece, from, to): the intervals of each piece that smaller documents have, in 50-byte strings."""
-        sizes = np.array([len(p) for p in pieces]) - LENGTH + 1
-        whole = first_of_equal(pieces, doc) < doc
-        found = [(np.flatnonzero(whole), np.zeros(whole.sum(), np.int64), sizes[whole] + LENGTH - 1)]
+        whole = pieces.first(doc) < doc
+        found = [(np.flatnonzero(whole), np.zeros(whole.sum(), np.int64), pieces.sizes[whole])]
         rest = np.flatnonzero(~whole)
         if len(rest):
-            raw = np.frombuffer(b"".join([pieces[i] for i in rest]), np.uint8)
-            n = sizes[rest]
-            upto = np.cumsum(n)
-            of = np.repeat(np.arange(len(rest)), n)
-            within = np.arange(upto[-1]) - (upto - n)[of]
-            begins = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
-            words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[begins[of] + within]).view(f"S{LENGTH}").ravel()
+            left = pieces.take(rest)
+            words, of, within = left.windows()
             gone = self.first(words, doc[rest][of]) < doc[rest][of]
             before, after = np.concatenate([[False], gone[:-1]]), np.concatenate([gone[1:], [False]])
             start = np.flatnonzero(gone & (~before | (within == 0)))
-            stop = np.flatnonzero(gone & (~after | (within == n[of] - 1)))
+            stop = np.flatnonzero(gone & (~after | (within == (left.sizes - LENGTH)[of])))
             found.append((rest[of[start]], within[start], within[stop] + LENGTH))
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def cores(items: DataFrame) -> DataFrame:
+    """With ``core``, the hash of what all windows of a stretch share whose starts are ``a`` to ``b`` before the anchor."""
+    a, b = F.col("a"), F.col("b")
+    return items.withColumn("core", F.xxhash64(a, b, F.substring("piece", F.col("high") - a + 1, LENGTH - (b - a))))
+
+
 def matches(items: DataFrame, partitions: int) -> DataFrame:
     """(row, start, stop) of what the index families find."""
     def run(batches):
@@ -325,12 +381,11 @@ def matches(items: DataFrame, partitions: int) -> DataFrame:
 
         def take():
             row, doc, start = (np.concatenate([h[k] for h in held]) for k in range(3))
-            pieces = [p for h in held for p in h[3]]
-            piece, a, b = family.add(pieces, doc)
-            return pa.RecordBatch.from_arrays([pa.array(row[piece]), pa.array((start[piece] + a).astype(np.int32)), pa.array((start[piece] + b).astype(np.int32))], names=["row", "start", "stop"])
+            piece, a, b = family.add(Pieces.joined([h[3] for h in held]), doc)
+            return spans_batch(row[piece], start[piece] + a, start[piece] + b)
 
         for batch in batches:
-            held.append((*(batch.column(k).to_numpy() for k in range(3)), batch.column(3).to_pylist()))
+            held.append((*(batch.column(k).to_numpy() for k in range(3)), Pieces.of(batch.column(3))))
             size += batch.num_rows
             if size >= BATCH:
                 yield take()
@@ -344,29 +399,22 @@ def matches(items: DataFrame, partitions: int) -> DataFrame:
 
 
 def halves(items: DataFrame) -> DataFrame:
-    """Stretches cut in two parts whose windows share more bytes. ``items`` have their bounds a, b: the distances their core is taken over."""
-    def run(batches):
-        for batch in batches:
-            out = []
-            for x in batch.to_pylist():
-                mid = (x["a"] + x["b"]) // 2
-                for a, b in ((x["a"], mid), (mid + 1, x["b"])):
-                    low, high = max(x["low"], a), min(x["high"], b)
-                    if low <= high:
-                        piece = x["piece"][x["high"] - high : x["high"] - high + LENGTH + high - low]
-                        core = piece[high - a : high - a + LENGTH - (b - a)]
-                        key = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=bytes([a, b])).digest(), "little", signed=True)
-                        start = x["anchor"] - high
-                        out.append(x | {"a": a, "b": b, "low": low, "high": high, "piece": piece, "core": key, "start": start, "stop": start + len(piece)})
-            yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
-
-    return items.mapInArrow(run, items.schema)
+    """Stretches cut in two parts whose windows share more bytes."""
+    mid = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+    two = F.array(F.struct(F.col("a").alias("a"), mid.alias("b")), F.struct((mid + 1).alias("a"), F.col("b").alias("b")))
+    each = items.withColumn("part", F.explode(two)).withColumns({
+        "a": F.col("part.a"), "b": F.col("part.b"), "l": F.greatest("low", "part.a"), "h": F.least("high", "part.b"),
+    }).filter("l <= h")
+    shift = F.col("high") - F.col("h")
+    each = each.withColumns({"piece": F.substring("piece", shift + 1, LENGTH + F.col("h") - F.col("l")), "start": F.col("start") + shift})
+    return cores(each.select("row", "doc", "start", F.col("l").alias("low"), F.col("h").alias("high"), "piece", "a", "b"))
 
 
 def settled(items: DataFrame, partitions: int, scratch: Scratch, hot: int) -> DataFrame:
     """(row, start, stop) of all repeats among stretches; cores of more than ``hot`` stretches are split by their next bytes."""
-    low, high = F.col("low"), F.col("high")
-    items = items.withColumns({"a": F.when(low <= PARTS[0][1], PARTS[0][0]).otherwise(PARTS[1][0]), "b": F.when(low <= PARTS[0][1], PARTS[0][1]).otherwise(PARTS[1][1])})
+    near = F.col("low") <= PARTS[0][1]
+    bounds = {n: F.when(near, PARTS[0][k]).otherwise(PARTS[1][k]) for k, n in enumerate("ab")}
+    items = cores(items.select("row", "doc", "start", "low", "high", "piece").withColumns(bounds))
     found, k = None, 0
     while True:
         crowded = scratch.write(items.groupBy("core").count().filter(F.col("count") > hot).select("core"), f"crowded{k}")
@@ -378,7 +426,8 @@ def settled(items: DataFrame, partitions: int, scratch: Scratch, hot: int) -> Da
         more = items.join(crowded, "core", "left_semi")
         single = more.filter("a = b")
         first = single.groupBy("core", "piece").agg(F.min("doc").alias("first"))
-        found = found.unionAll(single.join(first, ["core", "piece"]).filter("first < doc").select("row", "start", "stop"))
+        together = single.join(first, ["core", "piece"]).filter("first < doc")
+        found = found.unionAll(together.select("row", "start", (F.col("start") + LENGTH).alias("stop")))
         items, k = scratch.write(halves(more.filter("a < b")), f"halves{k}"), k + 1
 
 
@@ -404,22 +453,18 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def run(batches):
         for batch in batches:
             for lo, texts in slices(batch.column(1).cast(pa.binary())):
-                sizes, spans, kept = [], [], []
-                for t, found in zip(texts.to_pylist(), batch.column(2).slice(lo, len(texts)).to_pylist()):
-                    t, at, out, left = t or b"", 0, [], []
-                    for x in sorted(found or (), key=lambda x: x["start"]):
-                        if out and x["start"] <= out[-1]["end"]:
-                            out[-1]["end"] = max(out[-1]["end"], x["stop"])
-                        else:
-                            out.append({"start": x["start"], "end": x["stop"]})
-                    for x in out:
-                        left.append(t[at : x["start"]])
-                        at = x["end"]
-                    sizes.append(len(t))
-                    spans.append(out)
-                    kept.append(b"".join([*left, t[at:]]) if out else t)
+                found = batch.column(2).slice(lo, len(texts))
+                sizes = pc.fill_null(pc.list_value_length(found), 0).to_numpy()
+                start, stop = (pc.struct_field(found.flatten(), k).to_numpy() for k in range(2))
+                text, start, stop = merged(np.repeat(np.arange(len(texts)), sizes), start, stop)
+                upto = np.searchsorted(text, np.arange(len(texts) + 1))
+                kept, raw = [], [t or b"" for t in texts.to_pylist()]
+                for t, a, b in zip(raw, upto.tolist(), upto[1:].tolist()):
+                    cuts = [0, *np.stack([start[a:b], stop[a:b]], axis=1).ravel().tolist(), len(t)]
+                    kept.append(b"".join([t[x:y] for x, y in zip(cuts[::2], cuts[1::2])]) if a < b else t)
+                spans = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], fields=list(span))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(texts)), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(kept, pa.binary())],
+                    [batch.column(0).slice(lo, len(texts)), pa.array([len(t) for t in raw], pa.int64()), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), spans), pa.array(kept, pa.binary())],
                     names=["doc_id", "n_bytes", "spans", "kept"],
                 )
 
