@@ -44,9 +44,11 @@ SPREAD = LENGTH - GRAM + 1
 PARTS = ((0, SPREAD // 2), (SPREAD // 2 + 1, SPREAD - 1))
 LAST = (1 << 63) - 1
 #: Windows hashed at a time; entries and stretches of a task that are combined before they are dealt out; stretches of a batch of the family.
-WINDOWS, ENTRIES, STRETCHES, BATCH = 1 << 17, 1 << 20, 1 << 18, 1 << 15
+WINDOWS, ENTRIES, STRETCHES, BATCH = 1 << 17, 1 << 20, 1 << 17, 1 << 14
 #: Stretches of one core that a single task takes.
 HOT = 1 << 18
+#: Index families to each shuffle partition.
+SHARES = 4
 KEY_BYTES = 6
 LOW = np.uint64(0xFFFFFFFF)
 STRETCH = "row long, doc long, start int, stop int, low int, high int, piece binary"
@@ -394,7 +396,8 @@ def matches(items: DataFrame, partitions: int) -> DataFrame:
             yield take()
 
     share = F.pmod("core", F.lit(64 * partitions)).cast("int").alias("share")
-    dealt_out = items.select("row", "doc", "start", "piece", share).repartition(partitions, "share").sortWithinPartitions("doc")
+    # a family holds all windows of its share, so shares are smaller than those of other shuffles
+    dealt_out = items.select("row", "doc", "start", "piece", share).repartition(SHARES * partitions, "share").sortWithinPartitions("doc")
     return dealt_out.select("row", "doc", "start", "piece").mapInArrow(run, "row long, start int, stop int")
 
 
