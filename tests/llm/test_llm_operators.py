@@ -56,6 +56,7 @@ def test_bpe_as_tiktoken(docs, unique):
 
 def test_bpe_offsets_and_split_characters(unique):
     for r in bpe.encode(unique, RANKS, P.PATTERN).collect():
+        assert r["n_inside"] <= max(0, len(r["ids"]) - 1)
         text = texts(unique.filter(f"doc_id = {r['doc_id']}"))[r["doc_id"]]
         raw = text.encode()
         ends = [*r["byte_starts"][1:], len(raw)]
@@ -142,6 +143,24 @@ def test_exact_dedup_when_identifiers_collide(unique, monkeypatch):
     assert by_id(exact_dedup.groups(unique)) == real
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        ids = rng.integers(0, int(rng.integers(2, 9)), int(rng.integers(1, 3000))).astype(np.uint32)
+        ends = np.unique(np.append(rng.integers(1, len(ids) + 1, 5), len(ids)))
+        rules, lengths, seq, at = token_files.compress(ids, ends, 10, least=4)
+        assert (token_files.expand(seq, rules, 10) == ids).all()
+        full = np.concatenate([np.ones(10, np.int64), lengths])
+        assert (np.add.reduceat(full[seq], np.concatenate([[0], at[:-1]])) == np.diff(ends, prepend=0)).all()
+        counts, last = Counter(), None
+        for a, b in zip([0, *at[:-1].tolist()], at.tolist()):
+            for i in range(a, b - 1):
+                pair = int(seq[i]), int(seq[i + 1])
+                last = None if last == (i - 1, pair) else (i, pair)
+                counts[pair] += last is not None
+        assert max(counts.values(), default=0) < 4
+
+
 def test_token_files(unique, docs):
     model = Tokenizer.from_file(WORDS)
     got, start = by_id(token_files.digest(unique, WORDS)), 0

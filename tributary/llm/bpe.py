@@ -6,8 +6,9 @@ character whose bytes are split over tokens is attributed to every token that ho
 one of its bytes, and decoding joins the bytes before it reads characters.
 
 Defined results: null text counts as empty (no ids, empty bytes); rows are handled one
-by one, so repeated rows and null ids pass through; only the named columns are read, so
-other columns can have any name; an empty table gives an empty table.
+by one, so repeated rows and null ids pass through; long texts are encoded whole, each in a
+part of its own; only the named columns are read, so other columns can have any name; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,10 +19,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.pieces import PieceEncoder, slices
+from tributary.llm.pieces import ENCODED, ByteEncoder, gathered, slices
+
+
+#: Ids that are decoded at a time, unless one row has more.
+DECODED = 1 << 19
 
 
 def byte_table() -> dict[int, str]:
@@ -67,11 +73,6 @@ def tokenizer_of(path: str, pattern: str):
     return out
 
 
-@lru_cache(maxsize=4)
-def encoder_of(path: str, pattern: str) -> PieceEncoder:
-    return PieceEncoder(tokenizer_of(path, pattern), blank_matters=True)
-
-
 @lru_cache(maxsize=4)
 def token_bytes(path: str) -> tuple[list[bytes], np.ndarray]:
     """By id: its bytes, from the token's characters by the reversed byte table, and their number."""
@@ -80,38 +81,47 @@ def token_bytes(path: str) -> tuple[list[bytes], np.ndarray]:
     return out, np.array([len(t) for t in out], dtype=np.int64)
 
 
-def starts(ids: np.ndarray, text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The byte and the character at which each token starts; a token that starts inside a character gets that character."""
-    ends = np.cumsum(sizes[ids])
-    at = ends - sizes[ids]
-    if text.isascii():
-        return at, at
-    raw = np.frombuffer(text.encode(), dtype=np.uint8)
-    return at, (np.cumsum((raw & 0xC0) != 0x80) - 1)[at]
+@lru_cache(maxsize=4)
+def encoder_of(path: str, pattern: str) -> ByteEncoder:
+    return ByteEncoder(tokenizer_of(path, pattern), token_bytes(path)[1])
+
+
+def starts(ids: np.ndarray, ends: np.ndarray, texts: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The byte and the character of its text at which each token starts, and whether that is inside the character.
+
+    A token that starts inside a character gets that character's number. ``ends``: of each text's ids.
+    """
+    raw = np.frombuffer(b"".join([t or b"" for t in texts.cast(pa.binary()).to_pylist()]), np.uint8)
+    lead = (raw & 0xC0) != 0x80
+    number = np.cumsum(lead, dtype=np.int32) - 1
+    at = np.cumsum(sizes[ids]) - sizes[ids]
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+    begin = np.repeat(np.cumsum(lengths) - lengths, np.diff(ends, prepend=0))
+    return at - begin, number[at] - number[begin], ~lead[at]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
-    """Per row: the id column, ``ids`` and, with offsets, ``byte_starts`` and ``char_starts``.
+    """Per row: the id column, ``ids`` and, with offsets, ``byte_starts``, ``char_starts`` and ``n_inside``, the tokens that start inside a character.
 
-    Texts are the rows of Arrow batches; about a million characters are encoded at a time.
+    Texts are the rows of Arrow batches; a few megabytes are encoded at a time.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    fields = [("ids", "array<int>")] + [("byte_starts", "array<int>"), ("char_starts", "array<int>")] * offsets
+    fields = [("ids", "array<int>")] + [("byte_starts", "array<int>"), ("char_starts", "array<int>"), ("n_inside", "long")] * offsets
 
     def run(batches):
         encoder, sizes = encoder_of(path, pattern), token_bytes(path)[1]
         for batch in batches:
-            for lo, texts in slices(batch.column(1)):
+            for lo, texts in slices(batch.column(1), ENCODED):
                 ids, ends = encoder.encode(texts)
-                lists = [ids]
+                upto = np.concatenate([[0], ends])
+                at = pa.array(upto, pa.int32())
+                listed = lambda x: pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32)))
+                columns = [batch.column(0).slice(lo, len(texts)), listed(ids)]
                 if offsets:
-                    both = [starts(i, t or "", sizes) for i, t in zip(np.split(ids, ends[:-1]), texts.to_pylist())]
-                    lists += [np.concatenate([b[k] for b in both]) for k in (0, 1)]
-                at = pa.array(np.concatenate([[0], ends]), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(texts)), *[pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32), pa.int32())) for x in lists]],
-                    names=[id_col, *[n for n, _ in fields]],
-                )
+                    *places, inside = starts(ids, ends, texts, sizes)
+                    total = np.concatenate([[0], np.cumsum(inside)])
+                    columns += [*map(listed, places), pa.array(np.diff(total[upto]), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, *[n for n, _ in fields]])
 
     schema = ", ".join([f"`{id_col}` {kind}", *[f"{n} {t}" for n, t in fields]])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
@@ -122,13 +132,20 @@ def decode(encoded: DataFrame, path: str, keep: list[str], ids_col: str = "ids")
     schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in [*keep, ids_col])
 
     def run(batches):
-        tokens = token_bytes(path)[0]
+        tokens, sizes = token_bytes(path)
+        pool, begins = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                ids = part.column(len(keep)).to_pylist()
-                out = [b"".join([tokens[i] for i in x or ()]) for x in ids]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*keep, ids_col, "decoded"])
+            lists = batch.column(len(keep))
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            group = (np.cumsum(n) - n) // DECODED
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                part = batch.slice(lo, hi - lo)
+                ids = part.column(len(keep)).flatten().to_numpy()
+                ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], np.cumsum(n[lo:hi])])]
+                raw = gathered(pool, begins[ids], sizes[ids])
+                out = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([*part.columns, out.cast(pa.binary())], names=[*keep, ids_col, "decoded"])
 
     return encoded.select(*keep, ids_col).mapInArrow(run, f"{schema}, decoded binary")
 
@@ -140,17 +157,18 @@ def decode_text(ids, path: str) -> str:
 
 
 def encoded_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids, and ids and bytes as digests, decoded from the ids."""
-    done = decode(encode(docs, path, pattern, offsets=False), path, ["doc_id"])
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Per document: doc_id, n_tokens, ids, n_inside, and the digest of the bytes decoded from the ids."""
+    done = decode(encode(docs, path, pattern), path, ["doc_id", "n_inside"])
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "n_inside", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: number of ids, SHA-256 of the decimal ids and of the decoded bytes."""
-    done = decode(encode(docs, path, pattern, offsets=False), path, ["doc_id"])
+    """Per document: number of ids, SHA-256 of the decimal ids and of the decoded bytes, and tokens that start inside a character."""
+    done = decode(encode(docs, path, pattern), path, ["doc_id", "n_inside"])
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        "n_inside",
     )

@@ -151,7 +151,7 @@ def dealt(rows: DataFrame, partitions: int) -> DataFrame:
             known = np.zeros(len(key), bool)
             known[order] = np.repeat(shared, np.diff(np.concatenate([begin, [len(key)]])))
             marks = key[order[begin[shared]]]
-            out = [packed(int(row[0] % partitions), True, key[known], row[known], at[known])] if known.any() else []
+            out = [packed(int(mixed(row[:1].view(np.uint64))[0] % np.uint64(partitions)), True, key[known], row[known], at[known])] if known.any() else []
             key, row, at = (np.concatenate([x[~known], y]) for x, y in ((key, marks), (row, np.zeros(len(marks), np.int64)), (at, np.full(len(marks), MARK))))
             to = (key >> np.uint64(48)) % np.uint64(partitions)
             by = np.argsort(to, kind="stable")

@@ -1,9 +1,10 @@
 """Token ids in binary files, compressed by Re-Pair grammars.
 
 Documents are encoded with the `tokenizers` library in ascending order of doc_id, an end
-id after each, and written in blocks of about ``block_ids`` ids.  Within a block frequent
-pairs of neighbouring ids are replaced by nonterminals, round after round; no pair spans two
-documents, so each document is a range of the compressed sequence and can be decoded alone.
+id after each, and written in blocks of about ``block_ids`` ids.  Within a block pairs of
+neighbouring ids are replaced by nonterminals, round after round, until no pair occurs 16 times;
+no pair spans two documents, so each document is a range of the compressed sequence and can be
+decoded alone.
 
 A block (little-endian unsigned 32-bit integers) is: magic, version, first nonterminal, number
 of rules, of symbols, of documents; left and right side of each rule; length of each rule's
@@ -12,7 +13,7 @@ Blocks are rows (part, block, doc_ids, n_ids, payload) of a Parquet table, so fi
 committed by Spark's writer and survive lost executors on any shared store.
 
 Defined results: null text counts as empty and gives the end id alone; null doc_ids come
-first; rows with the same doc_id are ordered by text; an empty table gives an empty table;
+first; rows with the same doc_id are ordered by text; a long text makes a block of its own length; an empty table gives an empty table;
 other columns are not read.
 """
 
@@ -29,64 +30,93 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.common import Scratch
-from tributary.llm.pieces import PieceEncoder, slices
+from tributary.llm.pieces import ENCODED, WordEncoder, slices
 
 MAGIC, VERSION, HEAD = 0x31475052, 1, 6
 BLOCK_SCHEMA = "part int, block int, doc_ids array<long>, n_ids long, payload binary"
 
 
 @lru_cache(maxsize=2)
-def encoder_of(path: str) -> PieceEncoder:
+def encoder_of(path: str) -> WordEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
-    from tokenizers import Tokenizer
-
-    return PieceEncoder(Tokenizer.from_file(path), blank_matters=False)
-
-
-def frequent_pairs(seq: np.ndarray, inner: np.ndarray, least: int, most: int) -> np.ndarray:
-    """Keys (left << 32 | right) of the pairs inside documents that occur ``least`` times, the ``most`` frequent ones, sorted."""
-    keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-    keys = keys[inner]
-    # counting by hash first leaves only pairs that can be frequent to be sorted
-    slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-    keys = keys[np.bincount(slot, minlength=1 << 20)[slot] >= least]
-    found, n = np.unique(keys, return_counts=True)
-    found, n = found[n >= least], n[n >= least]
-    if len(found) > most:
-        found = np.sort(found[np.lexsort((found, -n))[:most]])
-    return found
-
-
-def compress(seq: np.ndarray, ends: np.ndarray, first: int, rounds: int = 3, least: int = 16, most: int = 8192):
-    """Rules (n, 2) and their expansion lengths, the compressed sequence, and where documents end in it."""
-    rules, lengths = [], []
-    for _ in range(rounds):
-        last = np.zeros(len(seq), bool)
-        last[ends - 1] = True
-        pairs = frequent_pairs(seq, ~last[:-1], least, most) if len(seq) > 1 else np.zeros(0, np.uint64)
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    plain.normalizer, plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()  # neither changes words of a-z
+    last = np.zeros(whole.get_vocab_size(with_added_tokens=True), bool)
+    last[[i for t, i in whole.get_vocab().items() if t.endswith(whole.model.end_of_word_suffix)]] = True
+    return WordEncoder(whole, plain, last)
+
+
+def frequent(place: np.ndarray, keys: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(pairs, n, place, which, counts): pairs that occur at least ``least`` times without overlap, how often, the places of each, and which of them count.
+
+    ``keys`` are the pairs at ``place``; of a pair that repeats itself in a row every second place counts.
+    """
+    if len(keys) > 1 << 16:  # counting by hash first leaves only pairs that can be frequent to be sorted
+        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).astype(np.int32)
+        can = np.bincount(slot, minlength=1 << 19)[slot] >= least
+        place, keys = place[can], keys[can]
+    same = np.concatenate([[False], (np.diff(place) == 1) & (keys[1:] == keys[:-1])]) if len(keys) else np.zeros(0, bool)
+    counts = ~same
+    if same.any():
+        begin = np.flatnonzero(~same)
+        counts = (np.arange(len(place)) - begin[np.cumsum(~same) - 1]) % 2 == 0
+    ranked = np.sort(keys[counts])
+    begin = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+    n = np.diff(np.concatenate([begin, [len(ranked)]]))
+    pairs, n = ranked[begin][n >= least], n[n >= least]
+    if not len(pairs):
+        return pairs, n, place[:0], place[:0], counts[:0]
+    which = np.searchsorted(pairs, keys)
+    which[which == len(pairs)] = 0
+    here = pairs[which] == keys
+    return pairs, n, place[here], which[here], counts[here]
+
+
+def chosen(place: np.ndarray, which: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which places are replaced: where two overlap, the one of the more frequent pair."""
+    rank = np.empty(len(n), np.int64)
+    rank[np.argsort(-n, kind="stable")] = np.arange(len(n))
+    rank, beside = rank[which], np.diff(place) == 1
+    return ~(np.concatenate([[False], beside & (rank[:-1] < rank[1:])]) | np.concatenate([beside & (rank[1:] < rank[:-1]), [False]]))
+
+
+def compress(seq: np.ndarray, ends: np.ndarray, first: int, least: int = 16):
+    """Rules (n, 2) and their expansion lengths, the compressed sequence, and where documents end in it.
+
+    Each round replaces all pairs that occur ``least`` times, the more frequent one where two overlap; pairs that lose too
+    many places to others wait for the next round.  It ends when no pair occurs ``least`` times.  After the first round only
+    pairs with a new symbol, and places that lost, can be frequent.
+    """
+    rules, lengths = [np.zeros((0, 2), np.uint32)], np.ones(first, np.int64)
+    seq = seq.astype(np.uint32)
+    look = np.ones(len(seq), bool)
+    while True:
+        look[ends - 1] = False  # no pair spans two documents
+        place = np.flatnonzero(look)
+        keys = (seq[place].astype(np.uint64) << np.uint64(32)) | seq[place + 1]
+        pairs, n, place, which, counts = frequent(place, keys, least)
         if not len(pairs):
-            break
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        at = np.searchsorted(pairs, keys)
-        at[at == len(pairs)] = 0
-        hits = np.flatnonzero((pairs[at] == keys) & ~last[:-1])
-        # of overlapping pairs in a row every second one is replaced, from the left
-        new_run = np.concatenate([[True], np.diff(hits) != 1])
-        start = hits[new_run][np.cumsum(new_run) - 1]
-        hits = hits[(hits - start) % 2 == 0]
-        base = first + sum(map(len, rules))
-        sides = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        known = np.concatenate([np.ones(first, np.int64), *lengths]) if lengths else np.ones(first, np.int64)
-        lengths.append(known[sides].sum(axis=1))
+            return np.concatenate(rules), lengths[first:], seq, ends
+        look[:] = False
+        look[place] = True
+        place, which = place[counts], which[counts]
+        take = chosen(place, which, n)
+        used = np.bincount(which[take], minlength=len(pairs)) >= least
+        take &= used[which]
+        place, which, base = place[take], (np.cumsum(used) - 1)[which[take]], len(lengths)
+        sides = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        lengths = np.concatenate([lengths, lengths[sides].sum(axis=1)])
         rules.append(sides)
-        seq = seq.copy()
-        seq[hits] = (base + at[hits]).astype(np.uint32)
+        seq[place] = (base + which).astype(np.uint32)
+        look[place] = True
+        look[np.maximum(place - 1, 0)] = True
         stay = np.ones(len(seq), bool)
-        stay[hits + 1] = False
+        stay[place + 1] = False
         ends = np.cumsum(stay)[ends - 1]
-        seq = seq[stay]
-    none = np.zeros((0, 2), np.uint32)
-    return np.concatenate([none, *rules]), np.concatenate([np.zeros(0, np.int64), *lengths]), seq, ends
+        # a pair before a removed symbol is one before the symbol that follows it
+        seq, look = seq[stay], look[stay]
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
@@ -158,7 +188,7 @@ def blocks(docs: DataFrame, path: str, end_id: int = 1, block_ids: int = 1 << 20
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), doc_ids, pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())], names=["part", "block", "doc_ids", "n_ids", "payload"])
 
         for batch in batches:
-            for lo, texts in slices(batch.column(1)):
+            for lo, texts in slices(batch.column(1), ENCODED):
                 ids, ends = encoder.encode(texts)
                 ids = np.insert(ids, ends, np.uint32(end_id))
                 held.append((ids, np.diff(ends, prepend=0) + 1))
