@@ -4,8 +4,8 @@ A cut before a blank that follows a character other than white space never
 changes the ids: no match of the splitting patterns used here has white space
 after its first character unless it is all white space, and none looks back.
 So a text is cut there, and the distinct words of a few megabytes are encoded
-together in long strings, which are cut again by what their tokens say.  Nothing
-is remembered from one part to the next, so memory is bounded by a part.
+together in long strings, which are cut again by what their tokens say.  Words of
+letters are remembered from one part to the next in arrays of bounded size.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Words of a string that is encoded at once.
 TOGETHER = 4096
+#: Bytes of words and ids that a worker remembers.
+REMEMBERED = 1 << 25
 #: Bytes of text whose distinct words are encoded together.
 ENCODED = 1 << 22
 #: White space other than the blank and the line feed (fixed values of the Unicode property), and blanks after white space.
@@ -44,6 +46,30 @@ def paired(pool: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarr
     return pool, np.cumsum(n) - n, n
 
 
+class Remembered:
+    """Words and their ids; once they take ``REMEMBERED`` bytes only those of the last call stay."""
+
+    def __init__(self, encode):
+        self.encode = encode
+        self.words, self.pool, self.n = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct words one after another, and how many each has."""
+        number = pc.index_in(words, value_set=self.words)
+        new = flags(number.is_null())
+        number = pc.fill_null(number, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = words.filter(pa.array(new))
+        pool, n = self.encode(fresh)
+        number[new] = len(self.words) + np.arange(len(fresh))
+        pool, n = np.concatenate([self.pool, pool]), np.concatenate([self.n, n])
+        out = gathered(pool, (np.cumsum(n) - n)[number], n[number]), n[number]
+        if self.words.nbytes + fresh.nbytes + pool.nbytes + n.nbytes > REMEMBERED:
+            self.words, (self.pool, self.n) = words, out
+        else:
+            self.words, self.pool, self.n = pa.concat_arrays([self.words, fresh]), pool, n
+        return out
+
+
 class Encoder:
     """Encodes texts by their words; what a word is and how words are encoded together is left to subclasses."""
 
@@ -83,6 +109,7 @@ class ByteEncoder(Encoder):
     def __init__(self, tokenizer, sizes: np.ndarray):
         super().__init__(tokenizer)
         self.sizes = sizes
+        self.stems = Remembered(self.together)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):
@@ -137,7 +164,7 @@ class ByteEncoder(Encoder):
         cut = cut.take(pa.array(plain))
         stems, tails = (pc.struct_field(cut, k).dictionary_encode() for k in range(2))
         # segments: stems, other words, words that are encoded alone, the first word of each text, tails
-        made = [self.together(stems.dictionary), self.together(distinct.take(pa.array(groups[0])))]
+        made = [self.stems.look_up(stems.dictionary), self.together(distinct.take(pa.array(groups[0])))]
         made += [self.each(x) for x in ([" " + p for p in distinct.take(pa.array(groups[1])).to_pylist()], lists.values.take(pa.array(firsts)).to_pylist(), tails.dictionary.to_pylist())]
         pool, n = (np.concatenate([m[k] for m in made]) for k in range(2))
         begin = np.cumsum([0, *(len(m[1]) for m in made)])
@@ -158,6 +185,7 @@ class WordEncoder(Encoder):
         """plain: the same model for words of a-z with blanks between them; last: by id, whether a token ends a match."""
         super().__init__(tokenizer)
         self.plain, self.last = plain, last
+        self.known = Remembered(self.stems)
 
     def split(self, texts):
         return super().split(pa.array([folded(t) for t in texts.cast(pa.large_binary()).to_pylist()], pa.large_binary()).cast(pa.large_string()))
@@ -176,6 +204,15 @@ class WordEncoder(Encoder):
             sizes.append(n)
         return np.concatenate(pools), np.concatenate(sizes)
 
+    def stems(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of plain letters, those of a-z by the simpler tokenizer, and how many each has."""
+        simple = flags(pc.string_is_ascii(words)) if len(words) else np.zeros(0, bool)
+        groups = [np.flatnonzero(simple), np.flatnonzero(~simple)]
+        made = [self.together(words.take(pa.array(g)), t) for g, t in zip(groups, (self.plain, self.tokenizer))]
+        pool, n = (np.concatenate([m[k] for m in made]) for k in range(2))
+        order = np.argsort(np.concatenate(groups))
+        return gathered(pool, (np.cumsum(n) - n)[order], n[order]), n[order]
+
     def words(self, texts, lists):
         codes = lists.values.dictionary_encode()
         distinct, index = codes.dictionary, codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -183,19 +220,14 @@ class WordEncoder(Encoder):
         plain, rest = np.flatnonzero(flags(cut.is_valid())), np.flatnonzero(flags(cut.is_null()))
         cut = cut.take(pa.array(plain))
         stems, tails = (pc.struct_field(cut, k).dictionary_encode() for k in range(2))
-        ascii_ = flags(pc.equal(pc.utf8_length(stems.dictionary), pc.cast(pc.binary_length(stems.dictionary), pa.int64()))) if len(stems.dictionary) else np.zeros(0, bool)
-        # segments: stems of a-z, other stems, tails, other words
-        groups = [np.flatnonzero(ascii_), np.flatnonzero(~ascii_)]
-        made = [self.together(stems.dictionary.take(pa.array(g)), t) for g, t in zip(groups, (self.plain, self.tokenizer))]
-        made += [self.each(tails.dictionary.to_pylist()), self.each(distinct.take(pa.array(rest)).to_pylist())]
+        # segments: stems, tails, other words
+        made = [self.known.look_up(stems.dictionary), self.each(tails.dictionary.to_pylist()), self.each(distinct.take(pa.array(rest)).to_pylist())]
         pool, n = (np.concatenate([m[k] for m in made]) for k in range(2))
-        number = np.empty(len(ascii_), np.int64)
-        number[np.concatenate(groups)] = np.arange(len(ascii_))
         # a word is a stem and a tail, or one other segment and an empty one at the end
         pairs = np.full((len(distinct), 2), len(n))
-        pairs[plain, 0] = number[stems.indices.to_numpy(zero_copy_only=False)]
-        pairs[plain, 1] = len(ascii_) + tails.indices.to_numpy(zero_copy_only=False)
-        pairs[rest, 0] = len(ascii_) + len(tails.dictionary) + np.arange(len(rest))
+        pairs[plain, 0] = stems.indices.to_numpy(zero_copy_only=False)
+        pairs[plain, 1] = len(stems.dictionary) + tails.indices.to_numpy(zero_copy_only=False)
+        pairs[rest, 0] = len(stems.dictionary) + len(tails.dictionary) + np.arange(len(rest))
         pool, at, n = paired(pool, n, pairs)
         return pool, at[index], n[index]
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.common import Scratch
-from tributary.llm.pieces import ENCODED, WordEncoder, slices
+from tributary.llm.pieces import ENCODED, WordEncoder, gathered, slices
 
 MAGIC, VERSION, HEAD = 0x31475052, 1, 6
 BLOCK_SCHEMA = "part int, block int, doc_ids array<long>, n_ids long, payload binary"
@@ -62,16 +62,15 @@ def frequent(place: np.ndarray, keys: np.ndarray, least: int) -> tuple[np.ndarra
     if same.any():
         begin = np.flatnonzero(~same)
         counts = (np.arange(len(place)) - begin[np.cumsum(~same) - 1]) % 2 == 0
-    ranked = np.sort(keys[counts])
-    begin = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
-    n = np.diff(np.concatenate([begin, [len(ranked)]]))
-    pairs, n = ranked[begin][n >= least], n[n >= least]
-    if not len(pairs):
-        return pairs, n, place[:0], place[:0], counts[:0]
-    which = np.searchsorted(pairs, keys)
-    which[which == len(pairs)] = 0
-    here = pairs[which] == keys
-    return pairs, n, place[here], which[here], counts[here]
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)]
+    group = np.empty(len(keys), np.int64)
+    group[order] = np.cumsum(new) - 1
+    n = np.bincount(group[counts], minlength=int(new.sum()))
+    often = n >= least
+    here = often[group]
+    return ranked[new][often], n[often], place[here], (np.cumsum(often) - 1)[group[here]], counts[here]
 
 
 def chosen(place: np.ndarray, which: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -166,7 +165,14 @@ class Block:
         return expand(symbols[a:b], self.rules, self.first)[skip : skip + hi - lo]
 
     def all(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.first)
+        """Ids of all documents: each rule is expanded once, by rules before it."""
+        made = [b""] * len(self.rules)
+        whole = lambda x: made[x - self.first] if x >= self.first else x.to_bytes(4, "little")
+        for k, (left, right) in enumerate(self.rules.tolist()):
+            made[k] = whole(left) + whole(right)
+        pool = np.concatenate([np.arange(self.first, dtype="<u4"), np.frombuffer(b"".join(made), "<u4")])
+        size = np.concatenate([np.ones(self.first, np.int64), self.lengths.astype(np.int64)])
+        return gathered(pool, (np.cumsum(size) - size)[self.seq], size[self.seq])
 
 
 def blocks(docs: DataFrame, path: str, end_id: int = 1, block_ids: int = 1 << 20, partitions: int | None = None) -> DataFrame:
