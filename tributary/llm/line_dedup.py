@@ -199,7 +199,7 @@ def kept_parts(runs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_lines: int = 1, min_words: int = 20, window: int = 2, divisor: int = 3, max_lines: int = 64, report: bool = False) -> DataFrame:
     """The rows with repeated runs of lines taken out of the text; with ``report``, doc_id, n_removed_lines and the new text only."""
     scratch = Scratch(docs.sparkSession, "lines")
-    others = F.struct(F.lit(0).alias("__pad"), *[F.col(f"`{c}`") for c in docs.columns if c not in (text_col, id_col)]).alias("others")
+    others = F.struct(F.lit(0).alias("pad"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in (text_col, id_col)]).alias("others")
     rows = docs.select(others, F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("row", F.monotonically_increasing_id())
     rows = scratch.write(rows, "rows")
     cut = rows.select("row", "doc_id", "text", chunk_ends(F.split("text", "\n", -1), window, divisor, max_lines).alias("ends"))
@@ -214,7 +214,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     if report:
         return out.select("doc_id", F.col("lost").cast("long").alias("n_removed_lines"), "new")
     own = {text_col: F.col("new"), id_col: F.col("doc_id")}
-    return out.select(*[(own[c] if c in own else F.col("others").getField(c)).alias(c) for c in docs.columns])
+    return out.select(*[(own[c] if c in own else F.col("others").getField(f"c{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from tributary.llm.common import Scratch
 from tributary.llm.components import components
 from tributary.llm.pieces import slices
+from tributary.llm.sharing import mixed, shared
 
 
 @dataclass(frozen=True)
@@ -42,9 +43,9 @@ class Settings:
     similarity: float = 0.75
     words: int = 5
     hashes: int = 256
-    #: 64 bands of 6 hashes, drawn among the 256: two documents at the bound share no band with a chance of about 1 in 100,000.
-    bands: int = 64
-    band_rows: int = 6
+    #: 40 bands of 5 hashes, drawn among the 256: two documents at the bound share no band with a chance of about 2 in 100,000.
+    bands: int = 40
+    band_rows: int = 5
     batch: int = 32
     #: Posterior probability under which a pair is given up.
     miss: float = 1e-6
@@ -57,12 +58,6 @@ class Settings:
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_sets(texts: pa.Array, size: int = 5) -> list[np.ndarray]:
     """For each text its distinct shingles as sorted 64-bit hashes; words are hashed once a batch."""
     plain = pa.array([(t or b"").translate(PLAIN) for t in texts.cast(pa.binary()).to_pylist()], pa.large_binary())
@@ -99,12 +94,13 @@ def permutations(s: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (shingles >> np.uint64(32)).astype(np.uint32)[:, None]
+    """The lower 16 bits of each least hash: unequal ones meet with a chance of 1 in 65,536."""
     out = np.full(len(a), 0xFFFFFFFF, np.uint32)
     for lo in range(0, len(x), 1024):
         h = x[lo : lo + 1024] * a
         h += b
         np.minimum(out, h.min(axis=0), out=out)
-    return out
+    return out.astype("<u2")
 
 
 def band_members(s: Settings) -> np.ndarray:
@@ -149,21 +145,19 @@ def sketch(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def banded(classes: DataFrame, s: Settings) -> DataFrame:
-    """(bucket, c) for each band of each class."""
-    def run(batches):
-        pick = band_members(s)
-        salt = mixed(np.arange(1, s.bands + 1, dtype=np.uint64))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, s.hashes)
-            key = np.tile(salt, (len(rows), 1))
+    """(bucket, c) of the classes in buckets of several classes."""
+    def entries(batch):
+        if batch.num_rows:
+            pick = band_members(s)
+            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(batch.num_rows, s.hashes)
+            key = np.tile(mixed(np.arange(1, s.bands + 1, dtype=np.uint64)), (len(rows), 1))
             for k in range(s.band_rows):
                 key = mixed(key ^ rows[:, pick[:, k]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             ids = np.repeat(batch.column(0).to_numpy(), s.bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(ids)], names=["bucket", "c"])
+            yield key.ravel(), ids, np.zeros(len(ids), np.uint64)
 
-    return classes.select("c", "signature").mapInArrow(run, "bucket long, c long")
+    partitions = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shared(classes.select("c", "signature"), entries, partitions, keyed=True).select(F.col("key").alias("bucket"), F.col("row").alias("c"))
 
 
 def surviving(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
@@ -173,7 +167,7 @@ def surviving(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(batch.num_rows, s.hashes) for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, s.hashes) for k in (2, 3))
             alive, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, int)
             for k, m in enumerate(least):
                 part = slice(k * s.batch, (k + 1) * s.batch)
@@ -231,7 +225,7 @@ def block_links(left: DataFrame, classes: DataFrame, sets: DataFrame, scratch: S
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
         least = least_matches(s)
         rows = rows.sort_values(["block", "c"], kind="stable").reset_index(drop=True)
-        signs = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), s.hashes)
+        signs = np.frombuffer(b"".join(rows["signature"]), "<u2").reshape(len(rows), s.hashes)
         sets_ = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
         size = np.array([len(x) for x in sets_])
         c, top, block = rows["c"].to_numpy(), rows["label"].to_numpy().copy(), rows["block"].to_numpy()
@@ -277,8 +271,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), scratch: Scratch
     scratch.drop("sketch")
 
     members = scratch.write(banded(classes, s), "bands")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("pivot")).filter("n > 1").select("bucket", "pivot")
-    members = scratch.write(members.join(shared, "bucket"), "members")
+    pivots = scratch.write(members.groupBy("bucket").agg(F.min("c").alias("pivot")), "pivots")
+    members = scratch.write(members.join(pivots, "bucket"), "members")
     scratch.drop("bands")
 
     wanted = scratch.write(members.select("c").distinct().join(classes.select("c", "doc_id", "k1", "k2"), "c"), "wanted")
@@ -309,13 +303,13 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), scratch: Scratch
 def deduplicate(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, that of the smallest id, with its own columns. Of rows with that same id the first one stays."""
     scratch = Scratch(docs.sparkSession, "dedup")
-    own = F.struct(F.lit(0).alias("__pad"), *[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]).alias("own")
+    own = F.struct(F.lit(0).alias("pad"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in (id_col, text_col)]).alias("own")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), own)
     rows = scratch.write(rows, "rows")
     found = near_duplicates(rows.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row").alias("doc_id"), "text"), s, scratch)
     stays = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.row").alias("row"))
     back = {id_col: F.col("doc_id"), text_col: F.col("text")}
-    return rows.join(stays, "row", "left_semi").select(*[(back[c] if c in back else F.col("own").getField(c)).alias(c) for c in docs.columns])
+    return rows.join(stays, "row", "left_semi").select(*[(back[c] if c in back else F.col("own").getField(f"c{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
 def digest(docs: DataFrame) -> DataFrame:

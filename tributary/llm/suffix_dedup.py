@@ -30,26 +30,24 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.common import Scratch
-from tributary.llm.near_dedup import mixed
 from tributary.llm.pieces import slices
+from tributary.llm.sharing import mixed, shared
 
 LENGTH, GRAM = 50, 16
 SPREAD = LENGTH - GRAM + 1
 #: Distances of a window's start from its anchor, of the two parts of a stretch.
 PARTS = ((0, SPREAD // 2), (SPREAD // 2 + 1, SPREAD - 1))
 LAST = (1 << 63) - 1
-#: Windows hashed at a time; entries and stretches of a task that are combined before they are dealt out; stretches of a batch of the family.
-WINDOWS, ENTRIES, STRETCHES, BATCH = 1 << 17, 1 << 20, 1 << 17, 1 << 14
+#: Windows hashed at a time; stretches of a task that are combined before they are dealt out, and of a batch of the family.
+WINDOWS, STRETCHES, BATCH = 1 << 17, 1 << 17, 1 << 14
 #: Stretches of one core that a single task takes.
 HOT = 1 << 18
 #: Index families to each shuffle partition.
 SHARES = 4
-KEY_BYTES = 6
 LOW = np.uint64(0xFFFFFFFF)
 STRETCH = "row long, doc long, start int, stop int, low int, high int, piece binary"
 
@@ -110,103 +108,17 @@ class Text:
                 yield t, anchor[here] - self.begins[t], np.maximum(low[here], a), np.minimum(high[here], b), self.core(anchor[here], a, b)
 
 
-def several(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by key, where keys begin in it, and which of them stand in more than one row."""
-    order = np.argsort(key, kind="stable")
-    begin = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-    return order, begin, np.minimum.reduceat(row[order], begin) < np.maximum.reduceat(row[order], begin)
-
-
-def planes(x: np.ndarray, width: int) -> bytes:
-    """The lower ``width`` bytes of numbers, first all lowest ones, then all second ones."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def from_planes(raw: np.ndarray, n: int, width: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = raw.reshape(width, n).T
-    return out.view("<u8").ravel()
-
-
 def place(anchor, low, high):
     """Anchor and distances in one number."""
     return (anchor.astype(np.uint64) << np.uint64(16)) | (low.astype(np.uint64) << np.uint64(8)) | high.astype(np.uint64)
 
 
-#: The place of an entry that only says that a core stands in several rows.
-MARK = np.uint64((1 << 48) - 1)
-
-
-def dealt(rows: DataFrame, partitions: int) -> DataFrame:
-    """(part, known, payload): entries (core, row, place) of parts of stretches, packed; ``known`` ones are shared for sure."""
-    def run(batches):
-        press, held, size = zstandard.ZstdCompressor(level=1), [], 0
-
-        def packed(part: int, known: bool, key, row, at):
-            return part, known, press.compress(np.int64(len(key)).tobytes() + planes(key, KEY_BYTES) * (not known) + planes(row, 8) + planes(at, 6))
-
-        def flush():
-            key, row, at = (np.concatenate(x) for x in zip(*held))
-            order, begin, shared = several(key, row)
-            known = np.zeros(len(key), bool)
-            known[order] = np.repeat(shared, np.diff(np.concatenate([begin, [len(key)]])))
-            marks = key[order[begin[shared]]]
-            out = [packed(int(mixed(row[:1].view(np.uint64))[0] % np.uint64(partitions)), True, key[known], row[known], at[known])] if known.any() else []
-            key, row, at = (np.concatenate([x[~known], y]) for x, y in ((key, marks), (row, np.zeros(len(marks), np.int64)), (at, np.full(len(marks), MARK))))
-            to = (key >> np.uint64(48)) % np.uint64(partitions)
-            by = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[by], np.arange(partitions + 1))
-            out += [packed(p, False, key[by[a:b]], row[by[a:b]], at[by[a:b]]) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.bool_(), pa.binary()))], names=["part", "known", "payload"])
-
-        for batch in batches:
-            row = batch.column(0).to_numpy()
-            for lo, texts in slices(batch.column(1).cast(pa.binary())):
-                for text, anchor, low, high, core in Text([t or b"" for t in texts.to_pylist()]).parts():
-                    held.append((core, row[lo + text], place(anchor, low, high)))
-                    size += len(core)
-                if size >= ENTRIES:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
-
-    long_enough = rows.filter(F.octet_length("text") >= LENGTH)
-    return long_enough.select("row", "text").mapInArrow(run, "part int, known boolean, payload binary")
-
-
-def shared_places(entries: DataFrame, partitions: int) -> DataFrame:
-    """(row, place): parts of stretches whose core stands in several rows."""
-    def run(batches):
-        tool, held = zstandard.ZstdDecompressor(), []
-
-        def out(row, at):
-            order = np.lexsort((at, row))
-            for lo in range(0, len(order), ENTRIES):
-                some = order[lo : lo + ENTRIES]
-                yield pa.RecordBatch.from_arrays([pa.array(row[some]), pa.array(at[some].view(np.int64))], names=["row", "place"])
-
-        for batch in batches:
-            for known, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = np.frombuffer(tool.decompress(payload.as_buffer()), np.uint8)
-                n = int(raw[:8].view("<i8")[0])
-                key, row, at = np.split(raw[8:], np.cumsum([KEY_BYTES * n * (not known), 8 * n]))
-                row, at = from_planes(row, n, 8).view(np.int64), from_planes(at, n, 6)
-                if known:
-                    yield from out(row, at)
-                else:
-                    held.append((from_planes(key, n, KEY_BYTES), row, at))
-        if held:
-            key, row, at = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            order, begin, shared = several(key, row)
-            shared |= np.maximum.reduceat(at[order], begin) == MARK
-            keep = np.zeros(len(key), bool)
-            keep[order] = np.repeat(shared, np.diff(np.concatenate([begin, [len(key)]])))
-            keep &= at != MARK
-            yield from out(row[keep], at[keep])
-
-    return entries.repartition(partitions, "part").select("known", "payload").mapInArrow(run, "row long, place long")
+def core_entries(batch: pa.RecordBatch):
+    """(core, row, place) of the parts of stretches in a batch of rows and texts."""
+    row = batch.column(0).to_numpy()
+    for lo, texts in slices(batch.column(1).cast(pa.binary())):
+        for text, anchor, low, high, core in Text([t or b"" for t in texts.to_pylist()]).parts():
+            yield core, row[lo + text], place(anchor, low, high)
 
 
 class Pieces:
@@ -439,7 +351,8 @@ def spans_of(docs: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[DataFra
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = scratch.write(rows, "rows", compression="zstd")
-    places = scratch.write(shared_places(dealt(rows, partitions), partitions), "places")
+    long_enough = rows.filter(F.octet_length("text") >= LENGTH).select("row", "text")
+    places = scratch.write(shared(long_enough, core_entries, partitions).select("row", "place"), "places")
     every = scratch.write(stretches(rows, places), "stretches", compression="zstd")
     scratch.drop("places")
     found = settled(every.filter(F.col("piece").isNotNull()), partitions, scratch, hot)
