@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.common import Scratch
+from tributary.llm.pieces import slices
 
 ITEM = "row long, doc_id {}, at int, n int, inside int, chunk boolean, h long"
 TEXT = "h long, row long, at int, n int, is_first boolean, chunk binary"
@@ -125,21 +126,21 @@ def repeated_runs(rows: DataFrame, min_lines: int, min_words: int, scratch: Scra
 
     def items(batches):
         for batch in batches:
-            row, ids, found = batch.column(0).to_pylist(), [], ([], [], [], [], [], [])
-            for k, (text, ends) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if text is None:
-                    continue
-                whole = text.encode("utf-8", "surrogatepass")
-                lines = whole.split(b"\n")
-                at = offsets(lines)
-                for i, n, inside, chunk in runs_of([len(x.split()) for x in lines], ends, min_lines, min_words):
-                    h = int.from_bytes(blake2b(whole[at[i] : at[i + n] - 1], digest_size=8).digest(), "little", signed=True)
-                    ids.append(k)
-                    for column, x in zip(found, (row[k], i, n, inside, chunk, h)):
-                        column.append(x)
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
-            columns = [pa.array(x, t) for x, t in zip(found, types)]
-            yield pa.RecordBatch.from_arrays([columns[0], batch.column(1).take(pa.array(ids, pa.int64())), *columns[1:]], names=["row", "doc_id", "at", "n", "inside", "chunk", "h"])
+            for lo, texts in slices(batch.column(2).cast(pa.binary())):
+                row, ids, found = batch.column(0).slice(lo, len(texts)).to_pylist(), [], ([], [], [], [], [], [])
+                for k, (whole, ends) in enumerate(zip(texts.to_pylist(), batch.column(3).slice(lo, len(texts)).to_pylist())):
+                    if whole is None:
+                        continue
+                    lines = whole.split(b"\n")
+                    at = offsets(lines)
+                    for i, n, inside, chunk in runs_of([len(x.split()) for x in lines], ends, min_lines, min_words):
+                        h = int.from_bytes(blake2b(whole[at[i] : at[i + n] - 1], digest_size=8).digest(), "little", signed=True)
+                        ids.append(lo + k)
+                        for column, x in zip(found, (row[k], i, n, inside, chunk, h)):
+                            column.append(x)
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
+                columns = [pa.array(x, t) for x, t in zip(found, types)]
+                yield pa.RecordBatch.from_arrays([columns[0], batch.column(1).take(pa.array(ids, pa.int64())), *columns[1:]], names=["row", "doc_id", "at", "n", "inside", "chunk", "h"])
 
     every = scratch.write(rows.mapInArrow(items, ITEM.format(kind)), "items")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "at")
@@ -156,16 +157,16 @@ def repeated_runs(rows: DataFrame, min_lines: int, min_words: int, scratch: Scra
 
     def texts(batches):
         for batch in batches:
-            found = ([], [], [], [], [], [])
-            for row, text, hits in zip(*(c.to_pylist() for c in batch.columns)):
-                whole = text.encode("utf-8", "surrogatepass")
-                at = offsets(whole.split(b"\n"))
-                for x in hits:
-                    run = whole[at[x["at"]] : at[x["at"] + x["n"]] - 1]
-                    for column, v in zip(found, (x["h"], row, x["at"], x["n"], x["is_first"], run)):
-                        column.append(v)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, types)], names=["h", "row", "at", "n", "is_first", "chunk"])
+            for lo, some in slices(batch.column(1).cast(pa.binary())):
+                found = ([], [], [], [], [], [])
+                for row, whole, hits in zip(batch.column(0).slice(lo, len(some)).to_pylist(), some.to_pylist(), batch.column(2).slice(lo, len(some)).to_pylist()):
+                    at = offsets(whole.split(b"\n"))
+                    for x in hits:
+                        run = whole[at[x["at"]] : at[x["at"] + x["n"]] - 1]
+                        for column, v in zip(found, (x["h"], row, x["at"], x["n"], x["is_first"], run)):
+                            column.append(v)
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, types)], names=["h", "row", "at", "n", "is_first", "chunk"])
 
     # joins that move texts are sort-merge joins at every size, so what is measured on small inputs holds on large ones
     moved = scratch.write(rows.select("row", "text").hint("merge").join(hits, "row").mapInArrow(texts, TEXT), "several")
