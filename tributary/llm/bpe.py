@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.llm.common import lean
 from tributary.llm.pieces import ENCODED, ByteEncoder, gathered, slices
 
 
@@ -124,7 +125,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, *[n for n, _ in fields]])
 
     schema = ", ".join([f"`{id_col}` {kind}", *[f"{n} {t}" for n, t in fields]])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
@@ -147,7 +148,7 @@ def decode(encoded: DataFrame, path: str, keep: list[str], ids_col: str = "ids")
                 out = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([*part.columns, out.cast(pa.binary())], names=[*keep, ids_col, "decoded"])
 
-    return encoded.select(*keep, ids_col).mapInArrow(run, f"{schema}, decoded binary")
+    return encoded.select(*keep, ids_col).mapInArrow(lean(run), f"{schema}, decoded binary")
 
 
 def decode_text(ids, path: str) -> str:

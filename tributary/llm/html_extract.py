@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Scratch
+from tributary.llm.common import Scratch, lean
 
 #: Elements whose content is never text, and elements that stand inside a block (fixed values of the language).
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "select", "title", "head"}
@@ -299,7 +299,7 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
                 found += ids
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "text"])
 
-    rows = pages.select("url", "html").mapInArrow(streams, "host string, signature string, held array<int>, texts array<long>")
+    rows = pages.select("url", "html").mapInArrow(lean(streams), "host string, signature string, held array<int>, texts array<long>")
     rows = scratch.write(rows, "streams")
     distinct = rows.groupBy("host", "signature").agg(F.count("*").alias("n"))
     one = lambda pdf: pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [infer(sorted(pdf["wrapper"]))]})
@@ -311,7 +311,7 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     single = content.groupBy("host", "content").agg(F.min(F.struct("signature", "held", "texts")).alias("p")).select("host", "p.*")
     single = scratch.write(single, "single")
     total = single.groupBy("host").agg(F.count("*").alias("pages"))
-    often = single.join(whole, "host").select("host", "signature", "held", "texts", "wrapper").mapInArrow(slots, "host string, text long")
+    often = single.join(whole, "host").select("host", "signature", "held", "texts", "wrapper").mapInArrow(lean(slots), "host string, text long")
     often = often.groupBy("host", "text").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES)
     often = often.join(total, "host").filter("2 * n > pages").groupBy("host").agg(F.collect_list("text").alias("template"))
     return scratch.write(whole.join(often, "host", "left"), "wrappers")
@@ -338,4 +338,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     # the wrappers' table is written, so its size is known and Spark broadcasts it only under its own threshold
     rows = pages.withColumn("host", host).join(found, "host", "left").select("page_id", "url", "html", "host", "wrapper", "template")
-    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(run), f"page_id {kind}, url string, text string, n_chars long")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Scratch
+from tributary.llm.common import Scratch, lean
 from tributary.llm.pieces import slices
 
 ITEM = "row long, doc_id {}, at int, n int, inside int, chunk boolean, h long"
@@ -142,7 +142,7 @@ def repeated_runs(rows: DataFrame, min_lines: int, min_words: int, scratch: Scra
                 columns = [pa.array(x, t) for x, t in zip(found, types)]
                 yield pa.RecordBatch.from_arrays([columns[0], batch.column(1).take(pa.array(ids, pa.int64())), *columns[1:]], names=["row", "doc_id", "at", "n", "inside", "chunk", "h"])
 
-    every = scratch.write(rows.mapInArrow(items, ITEM.format(kind)), "items")
+    every = scratch.write(rows.mapInArrow(lean(items), ITEM.format(kind)), "items")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "at")
 
     def several(of: DataFrame, name: str) -> DataFrame:
@@ -169,7 +169,7 @@ def repeated_runs(rows: DataFrame, min_lines: int, min_words: int, scratch: Scra
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, types)], names=["h", "row", "at", "n", "is_first", "chunk"])
 
     # joins that move texts are sort-merge joins at every size, so what is measured on small inputs holds on large ones
-    moved = scratch.write(rows.select("row", "text").hint("merge").join(hits, "row").mapInArrow(texts, TEXT), "several")
+    moved = scratch.write(rows.select("row", "text").hint("merge").join(hits, "row").mapInArrow(lean(texts), TEXT), "several")
     scratch.drop("rest")
     original = moved.filter("is_first").select("h", F.col("chunk").alias("original")).dropDuplicates(["h"])
     same = moved.filter("NOT is_first").hint("merge").join(original, "h").filter(F.col("chunk") == F.col("original"))
@@ -194,7 +194,7 @@ def kept_parts(runs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))), pa.array(lost, pa.int32())], names=["row", "parts", "lost"])
 
     listed = runs.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
-    return listed.mapInArrow(merged, "row long, parts array<struct<at:int,n:int>>, lost int")
+    return listed.mapInArrow(lean(merged), "row long, parts array<struct<at:int,n:int>>, lost int")
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_lines: int = 1, min_words: int = 20, window: int = 2, divisor: int = 3, max_lines: int = 64, report: bool = False) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Scratch
+from tributary.llm.common import Scratch, given_back, lean
 from tributary.llm.components import components
 from tributary.llm.pieces import slices
 from tributary.llm.sharing import mixed, shared
@@ -141,7 +141,7 @@ def sketch(docs: DataFrame, s: Settings) -> DataFrame:
                     pa.array([signature(x, a, b).tobytes() if len(x) else None for x in sets], pa.binary()),
                 ], names=["doc_id", "n_shingles", "k1", "k2", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, k1 long, k2 long, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, n_shingles long, k1 long, k2 long, signature binary")
 
 
 def banded(classes: DataFrame, s: Settings) -> DataFrame:
@@ -178,7 +178,7 @@ def surviving(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     sign = lambda c: classes.select(F.col("c").alias(c), F.col("signature").alias(f"s{c}"), F.col("n_shingles").alias(f"n{c}"))
     # similarity is at most the ratio of the sizes
     both = pairs.join(sign("a"), "a").join(sign("b"), "b").filter(F.least("na", "nb") >= s.similarity * F.greatest("na", "nb"))
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, s: Settings) -> DataFrame:
@@ -195,7 +195,7 @@ def full_sets(docs: DataFrame, needed: DataFrame, s: Settings) -> DataFrame:
 
     ids = needed.select(F.col("doc_id").alias("d")).distinct()
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["d"]), "left_semi").select("text")
-    sets = texts.mapInArrow(run, "k1 long, k2 long, shingles binary")
+    sets = texts.mapInArrow(lean(run), "k1 long, k2 long, shingles binary")
     # rows that share an id with the one needed, or its set, are told apart by the set's name; any one of a class will do
     return sets.join(needed.select("c", "k1", "k2"), ["k1", "k2"]).select("c", "shingles").dropDuplicates(["c"])
 
@@ -215,7 +215,7 @@ def verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok, pa.int64())), batch.column(1).take(pa.array(ok, pa.int64()))], names=["a", "b"])
 
     of = lambda c: sets.select(F.col("c").alias(c), F.col("shingles").alias(f"s{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def block_links(left: DataFrame, classes: DataFrame, sets: DataFrame, scratch: Scratch, s: Settings) -> DataFrame:
@@ -247,6 +247,7 @@ def block_links(left: DataFrame, classes: DataFrame, sets: DataFrame, scratch: S
                 if 100 * shared >= hundredths * (size[i] + size[j] - shared):
                     out.append((c[i], c[j]))
                     top[top == top[j]] = top[i]
+        given_back()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     ties = left.filter("c <> least").select(F.col("least").alias("a"), F.col("c").alias("b"))

@@ -15,6 +15,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from tributary.llm.common import lean
+
 #: Entries of a task that are combined before they are dealt out.
 ENTRIES = 1 << 20
 #: The place of an entry that only says that a key stands in several rows; other places are smaller.
@@ -115,5 +117,5 @@ def shared(rows: DataFrame, entries: Callable[[pa.RecordBatch], Iterator[tuple]]
             keep = spread(several_ | (np.maximum.reduceat(at[order], begin) == MARK), order, begin) & (at != MARK)
             yield from out(key[keep], row[keep], at[keep])
 
-    packs = rows.mapInArrow(dealt, "part int, known boolean, payload binary")
-    return packs.repartition(partitions, "part").select("known", "payload").mapInArrow(met, "key long, row long, place long")
+    packs = rows.mapInArrow(lean(dealt), "part int, known boolean, payload binary")
+    return packs.repartition(partitions, "part").select("known", "payload").mapInArrow(lean(met), "key long, row long, place long")

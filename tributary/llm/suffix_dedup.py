@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Scratch
+from tributary.llm.common import Scratch, lean
 from tributary.llm.pieces import slices
 from tributary.llm.sharing import mixed, shared
 
@@ -233,7 +233,7 @@ def stretches(rows: DataFrame, places: DataFrame) -> DataFrame:
 
     asked = places.groupBy("row").agg(F.collect_list("place").alias("places"))
     both = rows.select("row", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text").join(asked, "row")
-    return both.select("row", "doc", "text", "places").mapInArrow(run, STRETCH)
+    return both.select("row", "doc", "text", "places").mapInArrow(lean(run), STRETCH)
 
 
 class IndexFamily:
@@ -310,7 +310,7 @@ def matches(items: DataFrame, partitions: int) -> DataFrame:
     share = F.pmod("core", F.lit(64 * partitions)).cast("int").alias("share")
     # a family holds all windows of its share, so shares are smaller than those of other shuffles
     dealt_out = items.select("row", "doc", "start", "piece", share).repartition(SHARES * partitions, "share").sortWithinPartitions("doc")
-    return dealt_out.select("row", "doc", "start", "piece").mapInArrow(run, "row long, start int, stop int")
+    return dealt_out.select("row", "doc", "start", "piece").mapInArrow(lean(run), "row long, start int, stop int")
 
 
 def halves(items: DataFrame) -> DataFrame:
@@ -386,7 +386,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     asked = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     both = rows.join(asked, "row", "left").select("doc_id", "text", "found")
-    return both.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return both.mapInArrow(lean(run), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import Scratch
+from tributary.llm.common import Scratch, lean
 from tributary.llm.pieces import ENCODED, WordEncoder, gathered, slices
 
 MAGIC, VERSION, HEAD = 0x31475052, 1, 6
@@ -206,7 +206,7 @@ def blocks(docs: DataFrame, path: str, end_id: int = 1, block_ids: int = 1 << 20
         if held:
             yield out()
 
-    return ranged.mapInArrow(run, BLOCK_SCHEMA)
+    return ranged.mapInArrow(lean(run), BLOCK_SCHEMA)
 
 
 def block_starts(table: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def read_back(table: DataFrame) -> DataFrame:
                 )
 
     rows = table.join(block_starts(table), ["part", "block"]).select("start", "doc_ids", "payload")
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
