@@ -12,17 +12,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.operators.flows import undirected, without_self
-from tributary.session import stage
+from tributary.session import Rounds, stage
 
 # ---- G1-G4 rings
 
 
 @dataclass(frozen=True)
 class RingRules:
-    depth: int = 4
+    depth: int = 6
     window_seconds: int | None = None
     reference_ts: int | None = None
     gap_seconds: int = 72 * 3600
+    #: Rings kept of each first account, or of each seed, after all rules; None keeps all.
+    most: int | None = None
     conservation: str = "hop"
     leak: float = 0.20
     cycle_leak: float = 0.60
@@ -81,6 +83,9 @@ def find_rings(flows: DataFrame, rules: RingRules = RingRules(), seeds: DataFram
         most = F.transform("hops", lambda h: h["max_amount"])
         rings = rings.filter(F.array_max(most) * (1 - rules.cycle_leak) <= F.array_min(most))
     rings = rings.withColumn("fingerprint", fingerprint(F.col("nodes")))
+    if rules.most is not None:  # L7
+        first = Window.partitionBy(F.col("nodes")[0]).orderBy(F.size("nodes"), "fingerprint")
+        rings = rings.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= rules.most).drop("_k")
     if seeds is not None:
         rings = rings.dropDuplicates(["fingerprint"])
     part = lambda c: F.transform("hops", lambda h: h[c]).alias(c)
@@ -126,12 +131,13 @@ def pagerank(flows: DataFrame, iterations: int = 100, damping: float = 0.85, tol
     nodes = stage(nodes.join(edges.select(F.col("src").alias("account")).distinct().withColumn("pays", F.lit(True)), "account", "left"), "rank-nodes")
     n = nodes.count()
     scores = nodes.select("account", "pays", F.lit(1.0 / max(n, 1)).alias("score"))
+    rounds, kept = Rounds(flows.sparkSession, "rank"), F.sum(F.when(F.col("pays").isNull(), F.col("score")))
+    lost = scores.agg(kept).first()[0] or 0.0
     for _ in range(iterations if n else 0):
-        lost = scores.filter("pays IS NULL").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
         got = edges.join(scores.select(F.col("account").alias("src"), "score"), "src").groupBy(F.col("dst").alias("account")).agg(F.sum(F.col("p") * F.col("score")).alias("got"))
         base = (1.0 - damping) / n + damping * lost / n
-        new = stage(scores.join(got, "account", "left").select("account", "pays", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("score"), F.col("score").alias("old")), "rank")
-        moved = new.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
+        new = rounds.put(scores.join(got, "account", "left").select("account", "pays", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("score"), F.col("score").alias("old")))
+        moved, lost = new.agg(F.max(F.abs(F.col("score") - F.col("old"))), F.coalesce(kept, F.lit(0.0))).first()
         scores = new.drop("old")
         if moved < tolerance:
             break
@@ -152,12 +158,13 @@ def local_pagerank(flows: DataFrame, accounts: DataFrame) -> DataFrame:
 def min_labels(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Smallest node reachable over undirected ``pairs`` (a, b); labels jump to their label's label each round."""
     both = stage(pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "label-pairs")
-    labels = stage(nodes.select("node", F.col("node").alias("label")), "label")
+    rounds = Rounds(pairs.sparkSession, "label")
+    labels = rounds.put(nodes.select("node", F.col("node").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
         new = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("l", "label")).alias("new"))
         jump = new.select(F.col("node").alias("new"), F.col("new").alias("further"))
-        new = stage(new.join(jump, "new", "left").select("node", F.col("label").alias("old"), F.least("new", F.coalesce("further", "new")).alias("label")), "label")
+        new = rounds.put(new.join(jump, "new", "left").select("node", F.col("label").alias("old"), F.least("new", F.coalesce("further", "new")).alias("label")))
         changed = new.filter("old <> label").take(1)
         labels = new.select("node", "label")
         if not changed:
@@ -174,13 +181,14 @@ def split_disconnected(pairs: DataFrame, membership: DataFrame) -> DataFrame:
 def coreness(pairs: DataFrame) -> DataFrame:
     """K-core numbers. Estimates start at the degree and become the h-index of the neighbours' until nothing changes, which is exact."""
     both = stage(pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "core-pairs")
-    core = stage(both.groupBy(F.col("a").alias("account")).agg(F.count("*").alias("core")), "core")
+    rounds = Rounds(pairs.sparkSession, "core")
+    core = rounds.put(both.groupBy(F.col("a").alias("account")).agg(F.count("*").alias("core")))
     while True:
         # h-index by counts: how many neighbours have at least each estimate; grouped, so a hub's neighbours are never one list
         near = both.join(core.select(F.col("account").alias("b"), F.col("core").alias("c")), "b").join(core.select(F.col("account").alias("a"), "core"), "a").groupBy("a", F.least("c", "core").alias("c")).agg(F.count("*").alias("n"))
         over = F.sum("n").over(Window.partitionBy("a").orderBy(F.col("c").desc()))
         h = near.select("a", F.least("c", over).alias("h")).groupBy(F.col("a").alias("account")).agg(F.max("h").alias("h"))
-        new = stage(core.join(h, "account").select("account", F.col("h").alias("core"), F.col("core").alias("old")), "core")
+        new = rounds.put(core.join(h, "account").select("account", F.col("h").alias("core"), F.col("core").alias("old")))
         changed = new.filter("core <> old").take(1)
         core = new.select("account", "core")
         if not changed:
@@ -190,10 +198,10 @@ def coreness(pairs: DataFrame) -> DataFrame:
 def reach_labels(edges: DataFrame, nodes: DataFrame, forward: bool) -> DataFrame:
     """Smallest node that reaches a node (forward), or that it reaches."""
     a, b = ("src", "dst") if forward else ("dst", "src")
-    labels = nodes.select("node", F.col("node").alias("label"))
+    labels, rounds = nodes.select("node", F.col("node").alias("label")), Rounds(edges.sparkSession, "reach")
     while True:
         near = edges.join(labels.select(F.col("node").alias(a), F.col("label").alias("l")), a).groupBy(F.col(b).alias("node")).agg(F.min("l").alias("l"))
-        new = stage(labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("l", "label")).alias("label")), "reach")
+        new = rounds.put(labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("l", "label")).alias("label")))
         changed = new.filter("old <> label").take(1)
         labels = new.select("node", "label")
         if not changed:
@@ -286,11 +294,12 @@ def two_hop(flows: DataFrame) -> DataFrame:
 def reachable(flows: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(account, distance) of accounts within ``depth`` outgoing steps of the seeds; each account is expanded once."""
     e = without_self(flows).select("src", "dst")
-    seen = stage(seeds.select("account", F.lit(0).alias("distance")).distinct(), "seen")
+    rounds = Rounds(flows.sparkSession, "seen")
+    seen = rounds.put(seeds.select("account", F.lit(0).alias("distance")).distinct())
     for k in range(1, depth + 1):
         edge = seen.filter(F.col("distance") == k - 1).select(F.col("account").alias("src"))
         new = e.join(edge, "src").select(F.col("dst").alias("account")).distinct().join(seen, "account", "left_anti")
-        seen = stage(seen.unionAll(new.select("account", F.lit(k).alias("distance"))), "seen")
+        seen = rounds.put(seen.unionAll(new.select("account", F.lit(k).alias("distance"))))
     return seen
 
 
@@ -326,12 +335,14 @@ def neighbourhood(flows: DataFrame, seeds: DataFrame, hops: int = 2, fanout: int
     """Accounts around seeds, each frontier account adding its ``fanout`` largest counterparties in either direction, at most ``cap``, nearest first."""
     e = without_self(flows).select("src", "dst", "total_amount")
     both = e.select(F.col("src").alias("x"), F.col("dst").alias("y"), "total_amount").unionAll(e.select(F.col("dst").alias("x"), F.col("src").alias("y"), "total_amount")).groupBy("x", "y").agg(F.sum("total_amount").alias("amount"))
-    best = both.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.col("amount").desc(), "y"))).filter(F.col("k") <= fanout)
-    seen = stage(seeds.select("account", F.lit(0).alias("distance")).distinct(), "around")
+    largest, rounds = Window.partitionBy("x").orderBy(F.col("amount").desc(), "y"), Rounds(flows.sparkSession, "around")
+    both = stage(both, "around-pairs")
+    seen = rounds.put(seeds.select("account", F.lit(0).alias("distance")).distinct())
     for k in range(1, hops + 1):
         front = seen.filter(F.col("distance") == k - 1).select(F.col("account").alias("x"))
-        new = best.join(front, "x").select(F.col("y").alias("account")).distinct().join(seen, "account", "left_anti")
-        seen = stage(seen.unionAll(new.select("account", F.lit(k).alias("distance"))).orderBy("distance", "account").limit(cap), "around")
+        best = both.join(front, "x").withColumn("k", F.row_number().over(largest)).filter(F.col("k") <= fanout)
+        new = best.select(F.col("y").alias("account")).distinct().join(seen, "account", "left_anti")
+        seen = rounds.put(seen.unionAll(new.select("account", F.lit(k).alias("distance"))).orderBy("distance", "account").limit(cap))
     return seen
 
 
@@ -370,7 +381,8 @@ def communities(pairs: DataFrame, rounds: int = 20) -> DataFrame:
     both = stage(both, "community-edges")
     strength = stage(both.groupBy(F.col("a").alias("account")).agg(F.sum("weight").alias("k")), "strength")
     total = strength.agg(F.sum("k")).first()[0] or 0.0
-    now = stage(strength.select("account", "k", F.col("account").alias("community")), "community")
+    table = Rounds(pairs.sparkSession, "community")
+    now = table.put(strength.select("account", "k", F.col("account").alias("community")))
     still = 0
     for r in range(rounds if total else 0):
         volume = now.groupBy("community").agg(F.sum("k").alias("volume"))
@@ -380,7 +392,7 @@ def communities(pairs: DataFrame, rounds: int = 20) -> DataFrame:
         best = gain.groupBy("account").agg(F.max_by(F.struct("community", "gain"), F.struct(F.round("gain", 9), (F.col("community") == F.col("own")).cast("int"), -F.xxhash64("community").cast("decimal(20,0)"))).alias("best"), F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("stay"))
         turn = F.pmod(F.xxhash64("account", F.lit(r // 2)) + r % 2, F.lit(2)) == 0
         better = turn & (F.col("best.gain") > F.coalesce("stay", F.lit(0.0)) + 1e-9)
-        new = stage(now.join(best, "account", "left").select("account", "k", F.col("community").alias("old"), F.when(better, F.col("best.community")).otherwise(F.col("community")).alias("community")), "community")
+        new = table.put(now.join(best, "account", "left").select("account", "k", F.col("community").alias("old"), F.when(better, F.col("best.community")).otherwise(F.col("community")).alias("community")))
         still = 0 if new.filter("old <> community").take(1) else still + 1
         now = new.select("account", "k", "community")
         if still == 2:

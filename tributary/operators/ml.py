@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.session import Rounds, running, stage
+
 
 def temporal_split(accounts: DataFrame, by: str = "first_activity", train: float = 0.6, val: float = 0.15) -> DataFrame:
     """Train, val and test by exact quantiles of first activity; unknown goes to train."""
@@ -93,11 +95,10 @@ def quantile_normal(df: DataFrame, quantiles: DataFrame, names: list[str], clip:
 
 
 def curve(scored: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
-    """Per distinct score: positives and negatives there and so far, from the top. Windows run over distinct scores only."""
+    """Per distinct score: positives and negatives there and so far, from the top. Sums run over ranges of distinct scores."""
     per = scored.groupBy(F.col(score).alias("cutoff")).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.sum((~F.col(truth)).cast("long")).alias("n"))
-    down = Window.orderBy(F.col("cutoff").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    return per.select("cutoff", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(everything).alias("pos"), F.sum("n").over(everything).alias("neg"))
+    upto = stage(running(per, F.col("cutoff").desc_nulls_last(), {"tp": "p", "fp": "n"}), "curve")
+    return upto.crossJoin(upto.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("neg")))
 
 
 def ranking_metrics(scored: DataFrame) -> DataFrame:
@@ -197,9 +198,8 @@ def oversample(rows: DataFrame, vector: str = "vec", label: str = "label", k: in
 def propagate(flows: DataFrame, features: DataFrame, names: list[str], hops: int = 2) -> DataFrame:
     """M9: means of neighbours' features in both directions, layer by layer, beside an account's own."""
     from tributary.operators.flows import without_self
-    from tributary.session import stage
 
-    e = stage(without_self(flows).select("src", "dst").distinct(), "propagate")
+    e, rounds = stage(without_self(flows).select("src", "dst").distinct(), "propagate"), Rounds(flows.sparkSession, "propagate")
     out, last = features.select("account", *names), names
     for h in range(1, hops + 1):
         layer = out.select("account", *last)
@@ -208,7 +208,7 @@ def propagate(flows: DataFrame, features: DataFrame, names: list[str], hops: int
             means = e.join(layer.withColumnRenamed("account", a), a).groupBy(F.col(b).alias("account")).agg(*[F.avg(n).alias(f"{tag}{h}_{n}") for n in last])
             sides.append(means)
         new = [f"{tag}{h}_{n}" for tag in ("in", "out") for n in last]
-        out = stage(out.join(sides[0], "account", "left").join(sides[1], "account", "left").na.fill(0.0, new), "propagate")
+        out = rounds.put(out.join(sides[0], "account", "left").join(sides[1], "account", "left").na.fill(0.0, new))
         last = new
     return out
 

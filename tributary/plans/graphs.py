@@ -31,27 +31,32 @@ WHERE len(list_filter(ps, lambda p: p.b.f < p.a.f)) <= 1 AND len(list_filter(ps,
     return "WITH RECURSIVE " + ",\n".join([*ET, edges, paths, closed, pairs]) + "\n" + body
 
 
-FLOORS = {"hop": 0, "cycle": 5_000, "off": 10_000}
+RULES = gr.RingRules()
 
 
-def _rings(mode, depth, gap=72 * 3600, floor=10_000):
-    return lambda s, d: gr.find_rings(FE(s, d), gr.RingRules(depth=depth, gap_seconds=gap, conservation=mode, floor_cents=floor)).select("fingerprint", "ring", "n_hops")
+def _rings(mode):
+    return lambda s, d: gr.find_rings(FE(s, d), gr.RingRules(conservation=mode)).select("fingerprint", "ring", "n_hops")
 
 
 for _mode in ("hop", "cycle", "off"):
-    query(f"q_g01_rings_{_mode}", ring_sql(3, 72 * 3600, _mode, FLOORS[_mode]))(_rings(_mode, 3, floor=FLOORS[_mode]))
+    query(f"q_g01_rings_{_mode}", ring_sql(RULES.depth, RULES.gap_seconds, _mode, RULES.floor_cents))(_rings(_mode))
 
 
-@query("q_g04_ring_sweep", "SELECT DISTINCT unnest(ring) AS account FROM (" + ring_sql(3, 72 * 3600) + ")")
+@query("q_g04_ring_sweep", "SELECT DISTINCT unnest(ring) AS account FROM (" + ring_sql(RULES.depth, RULES.gap_seconds) + ")")
 def _(s, d):
-    return gr.ring_members(gr.find_rings(FE(s, d), gr.RingRules(depth=3)))
+    return gr.ring_members(gr.find_rings(FE(s, d)))
+
+
+@query("q_l07_capped_rings", "SELECT fingerprint, ring, n_hops FROM (SELECT *, row_number() OVER (PARTITION BY ring[1] ORDER BY n_hops, fingerprint) AS k FROM (" + ring_sql(RULES.depth, RULES.gap_seconds) + ")) WHERE k <= 1")
+def _(s, d):
+    return gr.find_rings(FE(s, d), gr.RingRules(most=1)).select("fingerprint", "ring", "n_hops")
 
 
 @query("q_g01_rings_from_pairs")
 def _(s, d):
     f = FE(s, d)
-    pairs = fl.reciprocal_pairs(f).orderBy("a", "b").limit(500)
-    return gr.find_rings(f, gr.RingRules(depth=3), pairs.select(F.explode(F.array("a", "b")).alias("account"))).select("fingerprint", "ring", "n_hops")
+    pairs = fl.reciprocal_pairs(f).orderBy("a", "b").limit(500)  # the feature takes its first 500 pairs as seeds
+    return gr.find_rings(f, RULES, pairs.select(F.explode(F.array("a", "b")).alias("account"))).select("fingerprint", "ring", "n_hops")
 
 
 RINGS2 = "p2 AS (SELECT x.src AS a, x.dst AS b, [x.max_amount, y.max_amount] AS am, [x.last_ts, y.last_ts] AS tm FROM fe x JOIN fe y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst)"
@@ -86,7 +91,8 @@ def rank_sql(rounds: int) -> str:
     return with_(f"SELECT account, round(s, 8) AS pagerank_score FROM r{rounds}", *ET, *base)
 
 
-query("q_g05_pagerank", rank_sql(5))(lambda s, d: gr.pagerank(FE(s, d), iterations=5, tolerance=0.0, places=8))
+query("q_g05_pagerank")(lambda s, d: gr.pagerank(FE(s, d)))
+query("q_g05_pagerank_five_rounds", rank_sql(5))(lambda s, d: gr.pagerank(FE(s, d), iterations=5, tolerance=0.0, places=8))
 query("q_g06_pagerank_small")(lambda s, d: gr.pagerank(fl.induced(FE(s, d), accounts(s, d).filter("community_id IN ('c1', 'c2', 'c3', 'c4')")), iterations=30))
 query("q_g07_local_pagerank")(lambda s, d: gr.local_pagerank(FE(s, d), s.createDataFrame([("A7",), ("A9",)], "account string")))
 
@@ -163,7 +169,7 @@ CORE = """SELECT community_id AS community, sha256(string_agg(account, '|' ORDER
 SELECT acc.account, community_id, row_number() OVER (PARTITION BY community_id ORDER BY coalesce(w, 0) DESC, acc.account) AS k FROM acc LEFT JOIN (SELECT account, sum(weight) AS w FROM (SELECT unnest([a, b]) AS account, weight FROM en WHERE ca = cb) GROUP BY account) q ON q.account = acc.account) WHERE k <= 10 GROUP BY acc_community"""
 CORE = CORE.replace("GROUP BY acc_community", "GROUP BY 1").replace("SELECT community_id AS community, sha256", "SELECT community_id AS community, sha256")
 query("q_g11_community_names", with_(CORE, *TT, SQL_ACC, UT, ENDS))(lambda s, d: gr.community_names(_pairs(s, d), _members(s, d)))
-query("q_g09_communities")(lambda s, d: gr.communities(fl.undirected(FE(s, d)), rounds=8))
+query("q_g09_communities")(lambda s, d: gr.communities(fl.undirected(FE(s, d))))
 
 
 @query("q_g13_community_batch")
@@ -173,7 +179,7 @@ def _(s, d):
     return gr_batch(pairs, st.flag_accounts(flags(s, d), "COMMUNITY"))
 
 
-def gr_batch(pairs, flagged, rounds: int = 8):
+def gr_batch(pairs, flagged, rounds: int = 20):
     """Partition, connected parts of three accounts or more, their shape, name and score; those of medium level or above are flags."""
     found = gr.communities(pairs, rounds)
     parts = gr.split_disconnected(pairs, found).withColumnRenamed("part", "community")
@@ -204,7 +210,7 @@ def _(s, d):
     f = FE(s, d)
     ref = reference(f)
     a = accounts(s, d)
-    return fe.assemble(f, a, fe.volumes_of(E(s, d), ref), fe.community_stats(a, flags(s, d)), gr.pagerank(f, 20), ref)
+    return fe.assemble(f, a, fe.volumes_of(E(s, d), ref), fe.community_stats(a, flags(s, d)), gr.pagerank(f), ref)
 
 
 @query("q_f06_incremental_features")

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def session(master: str = "local[*]", partitions: int = 8) -> SparkSession:
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     if found is None:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not own.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tributary-"))
             own = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = own.get()
@@ -46,3 +49,31 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Tables of an iteration: a round's table goes once the next one, which is made from it, is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.k = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        atexit.register(_remove, spark, self.root)
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.k += 1
+        df.write.parquet(f"{self.root}/{self.k}")
+        _remove(self.spark, f"{self.root}/{self.k - 1}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.k}")
+
+
+def running(df: DataFrame, order: Column, sums: dict[str, str]) -> DataFrame:
+    """With sums of columns up to each row in an order of distinct values: {new name: column}.  Ranges of rows are summed apart
+    and carry the sums of the ranges before them, one row each, so no task sees all rows."""
+    spark = df.sparkSession
+    part = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("_part", F.spark_partition_id())
+    part = stage(part, "ranges")
+    down = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    each = part.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    offset = each.select("_part", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
+    rows = part.withColumns({n: F.sum(c).over(down) for n, c in sums.items()}).join(offset, "_part")
+    return rows.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_part", *[f"_{n}" for n in sums])
