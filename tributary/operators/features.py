@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions.scoring import safe_ratio
@@ -101,3 +101,17 @@ def assemble(flows: DataFrame, accounts: DataFrame, volumes: DataFrame | None, c
 
 def volumes_of(transfers: DataFrame, reference_ts: int) -> DataFrame:
     return se.account_volumes(se.edge_series(transfers), reference_ts)
+
+
+def save_features(matrix: DataFrame, path: str, names: list[str]) -> None:
+    """A matrix with its columns in this order; the order is kept beside the rows."""
+    matrix.select("account", *names).write.mode("overwrite").parquet(f"{path}/rows")
+    matrix.sparkSession.createDataFrame([(names,)], "names array<string>").write.mode("overwrite").json(f"{path}/order")
+
+
+def load_features(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """The saved matrix, if its columns are ``names`` in that order."""
+    saved = spark.read.schema("names array<string>").json(f"{path}/order").first()["names"]
+    if saved != names:
+        raise ValueError(f"saved features are {saved}, not {names}")
+    return spark.read.parquet(f"{path}/rows").select("account", *names)

@@ -191,8 +191,10 @@ def _(s, d):
     names = ["out_degree", "in_degree", "net_flow", "flow_ratio"]
     rows = ml.propagate(f, base, names, 1)
     x = [c for c in rows.columns if c != "account"]
-    labelled = rows.withColumn("y", (F.col("flow_ratio") > 0.5).cast("double"))
-    return ml.predict(ml.train_classifier(labelled, x), labelled)
+    known = fe.weak_labels(flags(s, d)).withColumnRenamed("y", "level")
+    labelled = rows.join(known, "account", "left").withColumn("y", (F.coalesce("level", F.lit(0)) >= 2).cast("double"))
+    parts = labelled.join(ml.random_split(labelled.select("account")), "account")
+    return ml.predict(ml.train_classifier(parts.filter("split = 'train'"), x), parts)
 
 
 # ---- files and streams
@@ -217,7 +219,44 @@ query("q_s09_group_means", "SELECT event_id, avg(value) OVER (PARTITION BY event
 query("q_s10_generated")(lambda s, d: fs.generate(s, 2000))
 query("q_s12_background")(lambda s, d: fs.background_sample(E(s, d), 500))
 query("q_j05_pattern_rows", with_("SELECT *, true AS is_pattern FROM e WHERE sender_id IN (SELECT account FROM acc WHERE typology = 'CYCLE') OR receiver_id IN (SELECT account FROM acc WHERE typology = 'CYCLE') UNION ALL (SELECT *, false FROM e WHERE NOT (sender_id IN (SELECT account FROM acc WHERE typology = 'CYCLE') OR receiver_id IN (SELECT account FROM acc WHERE typology = 'CYCLE')) ORDER BY ts, txn_id LIMIT 200)", SQL_E, SQL_ACC))(lambda s, d: fs.with_background(E(s, d), accounts(s, d).filter("typology = 'CYCLE'"), 200))
-query("q_a30_ingest_stats", with_("SELECT count(*) AS scanned, count(*) FILTER (amount_cents % 2 = 0) AS pattern, min(ts) AS first_ts, max(ts) AS last_ts FROM e", SQL_E))(lambda s, d: E(s, d).agg(F.count("*").alias("scanned"), F.sum((F.col("amount_cents") % 2 == 0).cast("long")).alias("pattern"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+
+
+
+def _pattern_groups(s, d):
+    """A pattern file with a block of two transfers for each nation, read back."""
+    path, k = _folder(s, "patterns"), F.col("n_nationkey")
+    typology = F.element_at(F.array(*map(F.lit, TYPOLOGIES)), (k % 8 + 1).cast("int"))
+    hop = lambda a, b: F.concat(F.lit("2024/01/02 03:04,1,"), a.cast("string"), F.lit(",1,"), b.cast("string"), F.lit(",5.00,Euro,5.00,Euro,ACH,1\n"))
+    block = F.concat(F.lit("BEGIN LAUNDERING ATTEMPT - "), typology, F.lit("\n"), hop(k, k + 1), hop(k + 1, k), F.lit("END LAUNDERING ATTEMPT\n"))
+    s.read.parquet(f"{d}/nation.parquet").select(block.alias("value")).write.option("lineSep", "\n").text(path)
+    return fs.pattern_groups(fs.read_patterns(s, path))
+
+
+def _raw_transactions(s, d):
+    """The event log as rows of a transaction file; every tenth row has no time."""
+    k, price = F.col("event_id"), F.format_string("%.2f", F.col("value"))
+    time = F.when(k % 10 == 0, "none").otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy/MM/dd HH:mm"))
+    one, money = F.lit("1"), F.lit("Euro")
+    values = [time, one, F.col("user_id").cast("string"), one, F.get_json_object("props", "$.k"), price, money, price, money, F.lit("ACH"), F.lit("0")]
+    return s.read.parquet(f"{d}/events.parquet").select(*[v.alias(n) for n, v in zip(fs.TRANSACTION_COLUMNS, values)])
+
+
+SQL_GROUP = f"gr AS (SELECT {TYPOLOGIES}[n_nationkey % 8 + 1] AS typology, n_nationkey AS k FROM nation), mem AS (SELECT DISTINCT substr(sha256('1:' || unnest([k, k + 1])), 1, 32) AS account, typology FROM gr)"
+RAW = "raw AS (SELECT event_id, substr(sha256('1:' || user_id), 1, 32) AS a, substr(sha256('1:' || json_extract_string(props, '$.k')), 1, 32) AS b, epoch(date_trunc('minute', ts)) AS t FROM events WHERE event_id % 10 <> 0 AND trunc(round(value, 2) * 100) > 0)"
+STATS = """SELECT (SELECT count(*) FROM events) AS scanned, (SELECT count(*) FROM events) - count(*) AS bad_rows, count(*) FILTER (hit) AS pattern_rows, least(count(*) FILTER (NOT hit), 200) AS background_rows, greatest(count(*) FILTER (NOT hit) - 200, 0) AS background_skipped,
+(SELECT count(*) FROM gr) AS groups, (SELECT count(DISTINCT account) FROM mem) AS pattern_accounts, CAST(min(t) AS BIGINT) AS first_ts, CAST(max(t) AS BIGINT) AS last_ts FROM (SELECT *, a IN (SELECT account FROM mem) OR b IN (SELECT account FROM mem) AS hit FROM raw)"""
+query("q_a30_ingest_stats", with_(STATS, SQL_GROUP, RAW))(lambda s, d: fs.ingest_stats(_raw_transactions(s, d), _pattern_groups(s, d), 200).drop("typology_counts"))
+query("q_a30_typology_counts", with_("SELECT typology, CAST(2 * count(*) AS BIGINT) AS n FROM gr GROUP BY typology", SQL_GROUP))(lambda s, d: fs.ingest_stats(_raw_transactions(s, d), _pattern_groups(s, d), 200).select(F.explode("typology_counts").alias("typology", "n")))
+query("q_s05_pattern_groups", with_("SELECT typology, [substr(sha256('1:' || k), 1, 32), substr(sha256('1:' || (k + 1)), 1, 32)] AS accounts, 2::BIGINT AS n_hops, 500::BIGINT AS min_cents, 0::BIGINT AS span_seconds, false AS cross_currency FROM gr", SQL_GROUP))(lambda s, d: _pattern_groups(s, d).select("typology", "accounts", "n_hops", "min_cents", "span_seconds", "cross_currency"))
+query("q_u02_typology_members", with_("SELECT typology, account FROM mem", SQL_GROUP))(lambda s, d: fs.typology_members(_pattern_groups(s, d)))
+query("q_k10_feature_cache", with_("SELECT account, " + ", ".join(f"list_contains(labels, '{t}')::INT::DOUBLE AS is_{t.lower()}" for t in fe.NODE_TYPES) + " FROM acc", SQL_ACC))(lambda s, d: _cached(s, d))
+
+
+def _cached(s, d):
+    path = _folder(s, "features")
+    fe.save_features(fe.node_types(accounts(s, d)), path, list(fe.NODE_TYPE))
+    return fe.load_features(s, path, list(fe.NODE_TYPE))
+
 
 
 def _raw_events(s, d):
@@ -238,10 +277,13 @@ query("q_k12_dead_letters", "SELECT CAST(event_id AS VARCHAR) AS event_id, 'inva
 query("q_j06_settlements", """SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN (event_id - 1) % 50 = 0 OR (event_id - 1) % 77 = 0 OR event_id - 1 < (SELECT min(event_id) FROM events) THEN 'ORPHANED' WHEN event_id % 9 = 0 THEN 'DECLINED' ELSE 'SETTLED' END AS status FROM events WHERE event_id % 2 = 1 AND event_id % 50 <> 0 AND event_id % 77 <> 0""")(
     lambda s, d: (lambda n: ing.match_settlements(n.filter("event_type = 'AUTH'"), n.filter("event_type = 'SETTLEMENT'")).select("event_id", "status"))(ing.normalise(_raw_events(s, d)).filter("size(errors) = 0"))
 )
-query("q_p02_constraints", "SELECT c_custkey, length(c_name) BETWEEN 1 AND 16 AS fits, regexp_matches(c_name, '^Customer#[0-9]+$') AS named FROM customer")(lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.length("c_name").between(1, 16).alias("fits"), F.col("c_name").rlike("^Customer#[0-9]+$").alias("named")))
+BROKEN = "SELECT event_id, 'event_type' AS rule FROM events WHERE event_id % 50 = 0 UNION ALL SELECT event_id, 'amount_cents' FROM events WHERE event_id % 77 = 0"
+query("q_p02_constraints", f"SELECT CAST(event_id AS VARCHAR) AS event_id, rule FROM ({BROKEN})")(lambda s, d: ing.normalise(_raw_events(s, d)).select("event_id", F.explode("errors").alias("rule")))
 query("q_p03_wallets", "SELECT c_custkey, regexp_matches('0x' || substr(sha256('w' || c_custkey), 1, 38 + c_custkey % 4), '^0x[0-9a-fA-F]{40}$') AS ok FROM customer")(lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", ing.wallet_ok(F.lit("ETHEREUM"), F.concat(F.lit("0x"), F.substr(F.sha2(F.concat(F.lit("w"), "c_custkey"), 256), F.lit(1), (38 + F.col("c_custkey") % 4).cast("int")))).alias("ok")))
 query("q_p05_usd", with_("SELECT txn_id, CAST(round(amount_cents * CASE rail WHEN 'click' THEN 0.75::DOUBLE ELSE 1 END) AS BIGINT) AS amount_usd_cents FROM e", SQL_E))(lambda s, d: ing.usd_cents(E(s, d).withColumnRenamed("rail", "currency"), s.createDataFrame([("click", 0.75)], "currency string, rate double")).select("txn_id", "amount_usd_cents"))
-query("q_p04_preflight", "SELECT 5::BIGINT AS checked, 5::BIGINT AS valid, true AS ok")(lambda s, d: fs.preflight(s.read.parquet(f"{d}/events.parquet").select(F.lit("2024/01/02 03:04").alias("timestamp"), F.lit("5.5").alias("amount_paid"))))
+query("q_p04_preflight", "SELECT count(*) AS checked, count(*) FILTER (r_regionkey IN (1, 2)) AS valid, 2 * count(*) FILTER (r_regionkey IN (1, 2)) >= count(*) AS ok FROM region")(
+    lambda s, d: fs.preflight(s.read.parquet(f"{d}/region.parquet").select(F.when(F.col("r_regionkey") < 3, "2024/01/02 03:04").otherwise(F.col("r_name")).alias("timestamp"), F.col("r_regionkey").cast("string").alias("amount_paid")))
+)
 
 
 @query("q_r01_stream_flows", "SELECT sender AS src, receiver AS dst, count(*) AS tx_count, CAST(sum(c) AS BIGINT) AS total_amount FROM (SELECT 'A' || (event_id // 2 % 100) AS sender, 'B' || (event_id // 2 % 90) AS receiver, 1000 + (event_id - 1) % 10 + CASE WHEN event_id % 9 = 0 THEN -50 ELSE 0 END AS c FROM events WHERE event_id % 2 = 1 AND event_id % 50 <> 0 AND event_id % 77 <> 0) GROUP BY ALL")
@@ -261,5 +303,22 @@ def _list(s, path):
 
 
 query("q_r06_sliding", with_("SELECT sender_id, w * 86400 AS start, CAST(sum(amount_cents) AS BIGINT) AS volume, count(*) AS n FROM (SELECT sender_id, amount_cents, unnest(range(ts // 86400 - 6, ts // 86400 + 1)) AS w FROM e) GROUP BY ALL", SQL_E))(lambda s, d: ing.sliding_volumes(E(s, d)).select("sender_id", F.unix_timestamp("start").alias("start"), "volume", "n"))
-query("q_r04_dedupe", "SELECT count(*) AS n FROM events WHERE event_id % 50 <> 0 AND event_id % 77 <> 0")(lambda s, d: (lambda n: n.unionAll(n).dropDuplicates(["event_id"]).agg(F.count("*").alias("n")))(ing.normalise(_raw_events(s, d)).filter("size(errors) = 0")))
+VALID = "SELECT event_id, ts FROM events WHERE event_id % 50 <> 0 AND event_id % 77 <> 0"
+
+
+def _streamed(s, d, times, run):
+    """The rows that a streaming query writes over the events, which come ``times`` times, a batch each."""
+    root = _folder(s, "events")
+    for _ in range(times):
+        _raw_events(s, d).coalesce(1).write.mode("append").text(f"{root}/in")
+    stream = s.readStream.schema("value string").option("maxFilesPerTrigger", 1).text(f"{root}/in")
+    out = run(ing.normalise(stream).filter("size(errors) = 0"))
+    out.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{root}/out").awaitTermination()
+    return s.read.schema(out.schema).parquet(f"{root}/out")
+
+
+query("q_r04_dedupe", f"SELECT CAST(event_id AS VARCHAR) AS event_id FROM ({VALID})")(lambda s, d: _streamed(s, d, 2, lambda e: ing.deduplicated(e).select("event_id")))
+query("q_r07_matched_stream", f"SELECT CAST(s.event_id AS VARCHAR) AS event_id FROM ({VALID}) s JOIN ({VALID}) a ON s.event_id = a.event_id + 1 WHERE s.event_id % 2 = 1 AND epoch(a.ts)::BIGINT <= epoch(s.ts)::BIGINT AND epoch(a.ts)::BIGINT >= epoch(s.ts)::BIGINT - 86400")(
+    lambda s, d: _streamed(s, d, 1, lambda e: ing.matched_stream(e.filter("event_type = 'AUTH'"), e.filter("event_type = 'SETTLEMENT'")).select("event_id", "status")).filter("status = 'SETTLED'").select("event_id")
+)
 query("q_t02_window_labels", "SELECT unnest([1, 24, 47, 48, 168, 720]) AS hours, unnest(['1h', '24h', '47h', '2d', '7d', '30d']) AS label")(lambda s, d: s.createDataFrame([(h, se.window_label(h)) for h in (1, 24, 47, 48, 168, 720)], "hours int, label string"))

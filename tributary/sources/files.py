@@ -70,6 +70,32 @@ def pattern_groups(rows: DataFrame) -> DataFrame:
     return g.select("file", "block", "typology", accounts.alias("accounts"), "n_hops", "min_cents", "max_cents", "span_seconds", "currencies", (F.size("currencies") > 1).alias("cross_currency")).filter("min_cents IS NOT NULL AND span_seconds IS NOT NULL")
 
 
+def typology_members(groups: DataFrame) -> DataFrame:
+    """The accounts of each typology, united over its blocks."""
+    return groups.select("typology", F.explode("accounts").alias("account")).distinct()
+
+
+def ingest_stats(rows: DataFrame, groups: DataFrame, budget: int) -> DataFrame:
+    """One row of what a file holds: rows, bad ones, those that touch a pattern's account, others within and beyond the
+    budget, pattern groups and their accounts, accounts counted by typology, and the span of time."""
+    good = to_transfers(rows)
+    members = typology_members(groups).select(F.col("account").alias("_a")).distinct()
+    hit = good
+    for c in ("sender_id", "receiver_id"):
+        hit = hit.join(members.select(F.col("_a").alias(c), F.lit(True).alias(f"_{c}")), c, "left")
+    counted = hit.agg(
+        F.count("*").alias("good"), F.coalesce(F.sum(F.coalesce("_sender_id", "_receiver_id", F.lit(False)).cast("long")), F.lit(0)).alias("pattern_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
+    listed = groups.groupBy("typology").agg(F.sum(F.size("accounts")).alias("n"), F.count("*").alias("g"))
+    known = listed.agg(F.coalesce(F.sum("g"), F.lit(0)).alias("groups"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("typology", "n")))).alias("typology_counts"))  # a handful of typologies
+    one = rows.agg(F.count("*").alias("scanned")).crossJoin(counted).crossJoin(known).crossJoin(members.agg(F.count("*").alias("pattern_accounts")))  # one row each
+    rest = F.col("good") - F.col("pattern_rows")
+    return one.select(
+        "scanned", (F.col("scanned") - F.col("good")).alias("bad_rows"), "pattern_rows", F.least(rest, F.lit(budget)).alias("background_rows"), F.greatest(rest - budget, F.lit(0)).alias("background_skipped"),
+        "groups", "pattern_accounts", "typology_counts", "first_ts", "last_ts",
+    )
+
+
 def read_elliptic(spark: SparkSession, features: str, classes: str, edges: str, first_step: int = 1, last_step: int = 49) -> tuple[DataFrame, DataFrame]:
     """Nodes with label 3 (illicit), 0 (licit) or null, and the edges among them."""
     raw = spark.read.option("header", False).csv(features)

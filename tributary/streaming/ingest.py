@@ -84,6 +84,11 @@ def transfers_of(events: DataFrame) -> DataFrame:
     )
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def start_ingest(stream: DataFrame, root: str, once: bool = True, on_batch=None):
     """Each micro-batch goes to the ledger and the dead letters under its batch id, then into the flows.
 
@@ -104,6 +109,7 @@ def start_ingest(stream: DataFrame, root: str, once: bool = True, on_batch=None)
         else:
             merged = flows_of(new)
         merged.write.mode("overwrite").parquet(f"{root}/flows/{batch_id}")
+        _drop(spark, f"{root}/flows/{batch_id - 2}")  # a batch that runs again needs the one before it
         if on_batch is not None:
             on_batch(new, batch_id)
         events.unpersist()
@@ -112,6 +118,12 @@ def start_ingest(stream: DataFrame, root: str, once: bool = True, on_batch=None)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
 
 
+def reset(spark: SparkSession, root: str) -> None:
+    """K9: removes what ``start_ingest`` has written under ``root``, its checkpoint last, so a reset that is cut short can run again."""
+    for name in ("flows", "dead", "ledger", "checkpoint"):
+        _drop(spark, f"{root}/{name}")
+
+
 def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """One event per id, with state bounded by the watermark."""
     return events.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", delay).dropDuplicatesWithinWatermark(["event_id"])
