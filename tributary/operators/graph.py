@@ -45,7 +45,7 @@ def find_rings(flows: DataFrame, rules: RingRules = RingRules(), seeds: DataFram
         e = e.filter(F.col("last_ts") >= rules.reference_ts - rules.window_seconds)
     # only accounts that pay and are paid can be on a ring
     e = e.join(e.select(F.col("dst").alias("_d")).distinct(), F.col("src") == F.col("_d"), "left_semi").join(e.select(F.col("src").alias("_s")).distinct(), F.col("dst") == F.col("_s"), "left_semi")
-    e = e.select("src", "dst", F.struct("min_amount", "max_amount", "first_ts", "last_ts", "tx_count", "rail").alias("hop"))
+    e = stage(e.select("src", "dst", F.struct("min_amount", "max_amount", "first_ts", "last_ts", "tx_count", "rail").alias("hop")), "ring-edges")
 
     def late(a: Column, b: Column) -> Column:
         return (b["first_ts"] >= a["first_ts"]) & (b["first_ts"] - a["first_ts"] > rules.gap_seconds)
@@ -69,6 +69,8 @@ def find_rings(flows: DataFrame, rules: RingRules = RingRules(), seeds: DataFram
         tail = F.element_at("hops", -1)
         grown = paths.join(step, "last").filter(~late(tail, F.col("new")))
         grown = grown.withColumns({"backs": F.col("backs") + back(tail, F.col("new")), "broken": F.col("broken") + breaks(tail, F.col("new"))}).filter("backs <= 1 AND broken <= 1")
+        if depth < rules.depth:  # paths of a length are made once, for the rings they close and for longer paths
+            grown = stage(grown, "ring-paths")
         head = F.col("hops")[0]
         closed = grown.filter((F.col("next") == F.col("start")) & ~late(F.col("new"), head)).withColumns({"backs": F.col("backs") + back(F.col("new"), head), "broken": F.col("broken") + breaks(F.col("new"), head), "hops": F.concat("hops", F.array("new"))})
         found.append(closed.filter("backs <= 1 AND broken <= 1").select("nodes", "hops"))

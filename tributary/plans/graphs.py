@@ -10,7 +10,8 @@ from tributary.operators import flows as fl
 from tributary.operators import graph as gr
 from tributary.operators import state as st
 from tributary.plans.core import FIRST, IN, LOOPS, MEMBERS, OUT, VOLUMES
-from tributary.plans.registry import E, FE, FT, SQL_ACC, SQL_FLAG, SQL_REF_E, SQL_REF_T, T, accounts, flags, query, reference, with_
+from tributary.plans.registry import E, FE, FT, SQL_ACC, SQL_FLAG, SQL_REF_E, SQL_REF_T, T, accounts, flags, query, reference, staged_flows, with_
+from tributary.session import stage
 from tributary.sources.adapters import SQL_E, SQL_FE, SQL_FT, SQL_T
 
 ET, TT = (SQL_E, SQL_FE), (SQL_T, SQL_FT)
@@ -115,11 +116,11 @@ NS = "ns AS (SELECT src, dst FROM ft WHERE src <> dst), od AS (SELECT src AS acc
 NBR = """SELECT nn.account, ln(1 + coalesce(m, 0)::DOUBLE) AS log_nbr_out_deg, ln(1 + coalesce(hi, 0)::DOUBLE) AS max_payee_in_deg, ln(1 + coalesce(ho, 0)::DOUBLE) AS max_payer_out_deg FROM nn
 LEFT JOIN (SELECT dst AS account, avg(o) AS m, max(o) AS ho FROM ns JOIN od ON od.account = src GROUP BY dst) x ON x.account = nn.account
 LEFT JOIN (SELECT src AS account, max(i) AS hi FROM ns JOIN idg ON idg.account = dst GROUP BY src) y ON y.account = nn.account"""
-query("q_g17_neighbour_degrees", with_(NBR, *TT, NS))(lambda s, d: gr.neighbour_degrees(FT(s, d)))
+query("q_g17_neighbour_degrees", with_(NBR, *TT, NS))(lambda s, d: gr.neighbour_degrees(staged_flows(s, d)))
 HOP2 = """SELECT nn.account, ln(1 + coalesce(o, 0)::DOUBLE) AS two_hop_out, ln(1 + coalesce(i, 0)::DOUBLE) AS two_hop_in FROM nn
 LEFT JOIN (SELECT x.src AS account, count(DISTINCT y.dst) AS o FROM ns x JOIN ns y ON x.dst = y.src GROUP BY x.src) p ON p.account = nn.account
 LEFT JOIN (SELECT y.dst AS account, count(DISTINCT x.src) AS i FROM ns x JOIN ns y ON x.dst = y.src GROUP BY y.dst) q ON q.account = nn.account"""
-query("q_g19_two_hop", with_(HOP2, *TT, NS))(lambda s, d: gr.two_hop(FT(s, d)))
+query("q_g19_two_hop", with_(HOP2, *TT, NS))(lambda s, d: gr.two_hop(staged_flows(s, d)))
 
 
 def _one(s, *names):
@@ -138,7 +139,7 @@ query("q_g26_sample")(lambda s, d: gr.sample_neighbours(FE(s, d), _one(s, "A7",
 
 
 def _pairs(s, d):
-    return fl.undirected(FT(s, d), "tx_count")
+    return stage(fl.undirected(FT(s, d), "tx_count"), "pairs")
 
 
 def _members(s, d):
@@ -196,8 +197,8 @@ def gr_batch(pairs, flagged, rounds: int = 20):
 BASE = f"""SELECT n.account, coalesce(out_degree, 0)::DOUBLE AS out_degree, coalesce(in_degree, 0)::DOUBLE AS in_degree, coalesce(total_in_amount, 0)::DOUBLE - coalesce(total_out_amount, 0) AS net_flow,
 CASE WHEN coalesce(total_in_amount, 0) + coalesce(total_out_amount, 0) > 0 THEN coalesce(total_out_amount, 0)::DOUBLE / (coalesce(total_in_amount, 0) + coalesce(total_out_amount, 0)) ELSE 0 END AS flow_ratio,
 coalesce(greatest(0, (r - first_activity) / 86400.0::DOUBLE), 0) AS account_age_days FROM (SELECT account FROM acc UNION SELECT src FROM ft UNION SELECT dst FROM ft) n LEFT JOIN o USING (account) LEFT JOIN i USING (account) LEFT JOIN ({FIRST}) fa USING (account), ref"""
-query("q_f01_feature_base", with_(BASE, *TT, SQL_ACC, SQL_REF_T, OUT, IN))(lambda s, d: (lambda f: fe.base(f, accounts(s, d), reference(f)).select("account", "out_degree", "in_degree", "net_flow", "flow_ratio", "account_age_days"))(FT(s, d)))
-query("q_f02_account_age", with_(f"SELECT account, greatest(0, (r - first_activity) / 86400.0::DOUBLE) AS account_age_days FROM ({FIRST}), ref", *TT, SQL_REF_T))(lambda s, d: (lambda f: fl.first_activity(f).select("account", F.greatest(F.lit(0.0), (reference(f) - F.col("first_activity")) / 86400.0).alias("account_age_days")))(FT(s, d)))
+query("q_f01_feature_base", with_(BASE, *TT, SQL_ACC, SQL_REF_T, OUT, IN))(lambda s, d: (lambda f: fe.base(f, accounts(s, d), reference(f)).select("account", "out_degree", "in_degree", "net_flow", "flow_ratio", "account_age_days"))(staged_flows(s, d)))
+query("q_f02_account_age", with_(f"SELECT account, greatest(0, (r - first_activity) / 86400.0::DOUBLE) AS account_age_days FROM ({FIRST}), ref", *TT, SQL_REF_T))(lambda s, d: (lambda f: fl.first_activity(f).select("account", F.greatest(F.lit(0.0), (reference(f) - F.col("first_activity")) / 86400.0).alias("account_age_days")))(staged_flows(s, d)))
 query("q_f04_node_types", with_("SELECT account, " + ", ".join(f"list_contains(labels, '{t}')::INT::DOUBLE AS is_{t.lower()}" for t in fe.NODE_TYPES) + " FROM acc", SQL_ACC))(lambda s, d: fe.node_types(accounts(s, d)).select("account", *fe.NODE_TYPE))
 RATIO = lambda a, b, n: f"CASE WHEN {b} > 0 THEN ({a})::DOUBLE / ({b}) ELSE 0 END AS {n}"
 query("q_f03_derived", with_("SELECT account, " + ", ".join([RATIO("total_out_amount", "out_tx_count", "avg_out_amount"), RATIO("total_in_amount", "in_tx_count", "avg_in_amount"), RATIO("out_degree", "out_degree + in_degree", "degree_ratio"), RATIO("out_tx_count + in_tx_count", "out_degree + in_degree", "tx_per_counterparty"), RATIO("txn_out_1h + txn_in_1h", "txn_out_24h + txn_in_24h", "burst_1h_24h"), RATIO("txn_out_24h + txn_in_24h", "txn_out_7d + txn_in_7d", "burst_24h_7d"), RATIO("total_out_amount + total_in_amount", "out_degree + in_degree", "amount_per_degree")]) + " FROM o JOIN i USING (account) JOIN vol USING (account)", *ET, SQL_REF_E, MEMBERS, VOLUMES, OUT.replace("ft", "fe"), IN.replace("ft", "fe")))(
@@ -207,7 +208,7 @@ query("q_f03_derived", with_("SELECT account, " + ", ".join([RATIO("total_out_am
 
 @query("q_f05_feature_matrix")
 def _(s, d):
-    f = FE(s, d)
+    f = stage(FE(s, d), "flows")
     ref = reference(f)
     a = accounts(s, d)
     return fe.assemble(f, a, fe.volumes_of(E(s, d), ref), fe.community_stats(a, flags(s, d)), gr.pagerank(f), ref)
@@ -215,7 +216,7 @@ def _(s, d):
 
 @query("q_f06_incremental_features")
 def _(s, d):
-    f = FE(s, d)
+    f = stage(FE(s, d), "flows")
     near = gr.neighbourhood(f, _one(s, "A7", "A9"), 3, 10, 300)
     return fe.assemble(fl.induced(f, near), near.select("account"), None, None, None, reference(f))
 

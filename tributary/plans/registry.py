@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.operators.flows import dedupe_transfers, flows_of
+from tributary.operators.flows import flows_of
+from tributary.session import stage
 from tributary.sources import adapters as ad
 
 QUERIES: dict = {}
@@ -36,11 +37,16 @@ def E(spark: SparkSession, d: str) -> DataFrame:
 
 
 def FT(spark: SparkSession, d: str) -> DataFrame:
-    return flows_of(dedupe_transfers(T(spark, d)))
+    return flows_of(ad.distinct_transfers(T(spark, d)))
 
 
 def FE(spark: SparkSession, d: str) -> DataFrame:
-    return flows_of(dedupe_transfers(E(spark, d)))
+    return flows_of(ad.distinct_transfers(E(spark, d)))
+
+
+def staged_flows(spark: SparkSession, d: str) -> DataFrame:
+    """Flows of the ledger as a table, for queries that read them several times."""
+    return stage(FT(spark, d), "flows")
 
 
 def accounts(spark: SparkSession, d: str) -> DataFrame:

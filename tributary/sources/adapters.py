@@ -21,6 +21,13 @@ def txn_id(ts: Column, sender: Column, receiver: Column, amount: Column) -> Colu
     return F.substring(F.sha2(F.concat_ws("|", ts, sender, receiver, amount), 256), 1, 40)
 
 
+def distinct_transfers(df: DataFrame) -> DataFrame:
+    """Canonical transfers once each.  Equal ids are equal accounts, times and amounts, so rows are compared by these and dealt
+    out by the pair of accounts: flows grouped from them need no further shuffle, and ids are made for what is left."""
+    rows = df.drop("txn_id").repartition("sender_id", "receiver_id").dropDuplicates(["sender_id", "receiver_id", "ts", "amount_cents"])
+    return _canonical(rows)
+
+
 def _canonical(df: DataFrame) -> DataFrame:
     return df.withColumn("txn_id", txn_id(*[F.col(c) for c in ("ts", "sender_id", "receiver_id", "amount_cents")])).select(*COLUMNS)
 
