@@ -10,8 +10,8 @@ survives is verified on the full sets, so no link is wrong.
 Groups are never expanded into pairs.  In a bucket the smallest member is compared with
 the others; what is then in one component needs no further comparison.  Members of buckets
 that still hold several components form clusters (what shares such a bucket), and a cluster
-is compared in blocks: a task holds two blocks of members, compares their signatures as
-matrices, verifies what survives and is not linked yet, and returns only links that join
+is compared in blocks: a task holds two blocks of members, one of them at least from outside
+the cluster's largest component, compares their signatures as matrices, verifies what survives and is not linked yet, and returns only links that join
 components.  No candidate is capped, and rows grow with members and blocks, not with pairs.
 
 Defined results: null or empty texts have an empty set, are linked with nothing and stay;
@@ -194,7 +194,8 @@ def full_sets(docs: DataFrame, needed: DataFrame, s: Settings) -> DataFrame:
                 )
 
     ids = needed.select(F.col("doc_id").alias("d")).distinct()
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["d"]), "left_semi").select("text")
+    # a sort-merge join at every size: the ids are too many to broadcast on large inputs, so what is measured on small ones holds
+    texts = docs.hint("merge").join(ids, docs["doc_id"].eqNullSafe(ids["d"]), "left_semi").select("text")
     sets = texts.mapInArrow(lean(run), "k1 long, k2 long, shingles binary")
     # rows that share an id with the one needed, or its set, are told apart by the set's name; any one of a class will do
     return sets.join(needed.select("c", "k1", "k2"), ["k1", "k2"]).select("c", "shingles").dropDuplicates(["c"])
@@ -254,10 +255,17 @@ def block_links(left: DataFrame, classes: DataFrame, sets: DataFrame, scratch: S
     cluster = components(ties, scratch, "cluster")
     named = left.select("c", F.col("label").alias("component")).distinct()
     members = scratch.write(named.join(cluster, F.col("c") == F.col("node")).select("c", "component", F.col("label").alias("cluster")), "cluster-members")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / s.block).cast("int").alias("n_blocks"))
-    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("c"), F.col("n_blocks")).cast("int"))
+    # members of a cluster's largest component are compared with the others only, and never with one another
+    parts = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    most = parts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("m"), (F.sum("n") - F.max("n")).alias("r")).filter("r > 0")
+    number = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    most = most.select("cluster", "main", number("r", s.block).alias("others"), number("m", 4 * s.block).alias("mains"))
+    slot = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+    main = F.col("component") == F.col("main")
+    dealt = members.join(most, "cluster").withColumn("block", F.when(main, F.col("others") + slot("mains")).otherwise(slot("others")))
+    dealt = dealt.withColumn("upto", F.col("others") - 1 + F.when(main, 0).otherwise(F.col("mains")))
     dealt = dealt.join(classes.select("c", "signature"), "c").join(sets, "c")
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("upto"))))
     dealt = dealt.select("cluster", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "c", F.col("component").alias("label"), "signature", "shingles")
     return dealt.groupBy("cluster", "lo", "hi").applyInPandas(linked, "a long, b long")
 

@@ -19,7 +19,7 @@ TOGETHER = 4096
 #: Bytes of words and ids that a worker remembers.
 REMEMBERED = 1 << 25
 #: Bytes of text whose distinct words are encoded together.
-ENCODED = 1 << 21
+ENCODED = 1 << 22
 #: White space other than the blank and the line feed (fixed values of the Unicode property), and blanks after white space.
 UNSAFE = r"  |\n |^ |[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Signs after a letter are a match of their own. Words of letters and signs; words whose letters the lower-casing model leaves as they are.

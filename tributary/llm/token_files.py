@@ -81,6 +81,9 @@ def chosen(place: np.ndarray, which: np.ndarray, n: np.ndarray) -> np.ndarray:
     return ~(np.concatenate([[False], beside & (rank[:-1] < rank[1:])]) | np.concatenate([beside & (rank[1:] < rank[:-1]), [False]]))
 
 
+LOOK, END = 1, 2
+
+
 def compress(seq: np.ndarray, ends: np.ndarray, first: int, least: int = 16):
     """Rules (n, 2) and their expansion lengths, the compressed sequence, and where documents end in it.
 
@@ -90,32 +93,33 @@ def compress(seq: np.ndarray, ends: np.ndarray, first: int, least: int = 16):
     """
     rules, lengths = [np.zeros((0, 2), np.uint32)], np.ones(first, np.int64)
     seq = seq.astype(np.uint32)
-    look = np.ones(len(seq), bool)
+    # of each symbol: whether its pair with the next one may be frequent, and whether it is the last of a document
+    state = np.full(len(seq), LOOK, np.uint8)
+    state[ends - 1] = END
     while True:
-        look[ends - 1] = False  # no pair spans two documents
-        place = np.flatnonzero(look)
+        place = np.flatnonzero(state == LOOK)  # no pair spans two documents
         keys = (seq[place].astype(np.uint64) << np.uint64(32)) | seq[place + 1]
-        pairs, n, place, which, counts = frequent(place, keys, least)
+        pairs, n, near, which, counts = frequent(place, keys, least)
         if not len(pairs):
-            return np.concatenate(rules), lengths[first:], seq, ends
-        look[:] = False
-        look[place] = True
-        place, which = place[counts], which[counts]
-        take = chosen(place, which, n)
+            return np.concatenate(rules), lengths[first:], seq, np.flatnonzero(state & END) + 1
+        state[place] = 0
+        state[near] = LOOK
+        near, which = near[counts], which[counts]
+        take = chosen(near, which, n)
         used = np.bincount(which[take], minlength=len(pairs)) >= least
         take &= used[which]
-        place, which, base = place[take], (np.cumsum(used) - 1)[which[take]], len(lengths)
+        place, which, base = near[take], (np.cumsum(used) - 1)[which[take]], len(lengths)
         sides = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         lengths = np.concatenate([lengths, lengths[sides].sum(axis=1)])
         rules.append(sides)
         seq[place] = (base + which).astype(np.uint32)
-        look[place] = True
-        look[np.maximum(place - 1, 0)] = True
+        # the new symbol ends a document if its right side did; else its pairs are new
+        state[place] = LOOK | state[place + 1] & END
+        state[np.maximum(place - 1, 0)] |= LOOK
         stay = np.ones(len(seq), bool)
         stay[place + 1] = False
-        ends = np.cumsum(stay)[ends - 1]
         # a pair before a removed symbol is one before the symbol that follows it
-        seq, look = seq[stay], look[stay]
+        seq, state = seq[stay], state[stay]
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
