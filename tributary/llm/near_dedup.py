@@ -229,6 +229,8 @@ def block_links(left: DataFrame, classes: DataFrame, sets: DataFrame, scratch: S
         signs = np.frombuffer(b"".join(rows["signature"]), "<u2").reshape(len(rows), s.hashes)
         sets_ = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
         size = np.array([len(x) for x in sets_])
+        code = np.unique(np.concatenate(sets_), return_inverse=True)[1]
+        codes, mark = np.split(code, np.cumsum(size)[:-1]), np.zeros(code.max() + 1, bool)
         c, top, block = rows["c"].to_numpy(), rows["label"].to_numpy().copy(), rows["block"].to_numpy()
         within = rows["lo"].iloc[0] == rows["hi"].iloc[0]
         out = []
@@ -241,13 +243,15 @@ def block_links(left: DataFrame, classes: DataFrame, sets: DataFrame, scratch: S
                 got = got + (signs[other, part] == signs[i, part]).sum(axis=1)
                 alive = got >= least[lo // s.batch]
                 other, got = other[alive], got[alive]
+            mark[codes[i]] = True
             for j in other[np.argsort(-got, kind="stable")]:
                 if top[j] == top[i]:
                     continue
-                shared = len(np.intersect1d(sets_[i], sets_[j], assume_unique=True))
+                shared = np.count_nonzero(mark[codes[j]])
                 if 100 * shared >= hundredths * (size[i] + size[j] - shared):
                     out.append((c[i], c[j]))
                     top[top == top[j]] = top[i]
+            mark[codes[i]] = False
         given_back()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 

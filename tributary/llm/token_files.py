@@ -198,7 +198,7 @@ def blocks(docs: DataFrame, path: str, end_id: int = 1, block_ids: int = 1 << 20
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), doc_ids, pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())], names=["part", "block", "doc_ids", "n_ids", "payload"])
 
         for batch in batches:
-            for lo, texts in slices(batch.column(1), ENCODED):
+            for lo, texts in slices(batch.column(1), 2 * ENCODED):
                 ids, ends = encoder.encode(texts)
                 ids = np.insert(ids, ends, np.uint32(end_id))
                 held.append((ids, np.diff(ends, prepend=0) + 1))
