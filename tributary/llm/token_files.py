@@ -222,29 +222,35 @@ def block_starts(table: DataFrame) -> DataFrame:
     return within.join(parts.select("part", "outer"), "part").select("part", "block", (F.col("inner") + F.col("outer")).alias("start"))
 
 
+#: Row groups of a few blocks, so that a reader holds no more than that; sizes are checked after each block.
+GROUPS = {"parquet.block.size": 1 << 24, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
 def write(docs: DataFrame, path: str, out: str, **settings) -> DataFrame:
-    blocks(docs, path, **settings).write.mode("overwrite").parquet(out)
+    blocks(docs, path, **settings).write.mode("overwrite").options(**GROUPS).parquet(out)
     return docs.sparkSession.read.schema(BLOCK_SCHEMA).parquet(out)
 
 
 def read_back(table: DataFrame) -> DataFrame:
-    """Per document of the files: doc_id, start, n_tokens and ids_crc32 of its ids."""
+    """Per document of the files: doc_id, start, n_tokens and ids_crc32 of its ids.
+
+    Blocks are decoded where they are read; only a short row of each document meets the starts of blocks.
+    """
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                block = Block(batch.column(2)[i].as_buffer())
+                block = Block(batch.column(3)[i].as_buffer())
                 ids = np.ascontiguousarray(block.all(), dtype="<u4")
-                ends = np.cumsum(block.counts.astype(np.int64))
+                counts = block.counts.astype(np.int64)
+                ends = np.cumsum(counts)
                 raw = memoryview(ids.tobytes())
-                starts = ends - block.counts
+                starts = ends - counts
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(i, 1).flatten(), pa.array(starts + batch.column(0)[i].as_py()), pa.array(block.counts.astype(np.int64)), pa.array(crc, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                place = [pa.array(np.full(len(counts), batch.column(k)[i].as_py(), np.int32)) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*place, batch.column(2).slice(i, 1).flatten(), pa.array(starts), pa.array(counts), pa.array(crc, pa.int64())], names=["part", "block", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
-    rows = table.join(block_starts(table), ["part", "block"]).select("start", "doc_ids", "payload")
-    return rows.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = table.select("part", "block", "doc_ids", "payload").mapInArrow(lean(run), "part int, block int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    return rows.join(block_starts(table), ["part", "block"]).select("doc_id", (F.col("start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
