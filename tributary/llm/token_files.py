@@ -48,6 +48,16 @@ def encoder_of(path: str) -> WordEncoder:
     return WordEncoder(whole, plain, last)
 
 
+def sorted_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of keys and the keys in it; sorting them with their places in the low bits is the faster way where both fit."""
+    bits = len(keys).bit_length()
+    if not len(keys) or int(keys.max()).bit_length() + bits > 64:
+        order = np.argsort(keys)
+        return order, keys[order]
+    both = np.sort((keys << np.uint64(bits)) | np.arange(len(keys), dtype=np.uint64))
+    return (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
+
+
 def frequent(place: np.ndarray, keys: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """(pairs, n, place, which, counts): pairs that occur at least ``least`` times without overlap, how often, the places of each, and which of them count.
 
@@ -60,10 +70,9 @@ def frequent(place: np.ndarray, keys: np.ndarray, least: int) -> tuple[np.ndarra
     same = np.concatenate([[False], (np.diff(place) == 1) & (keys[1:] == keys[:-1])]) if len(keys) else np.zeros(0, bool)
     counts = ~same
     if same.any():
-        begin = np.flatnonzero(~same)
-        counts = (np.arange(len(place)) - begin[np.cumsum(~same) - 1]) % 2 == 0
-    order = np.argsort(keys)
-    ranked = keys[order]
+        begin, again = np.flatnonzero(~same), np.flatnonzero(same)
+        counts[again] = (again - begin[np.searchsorted(begin, again) - 1]) & 1 == 0
+    order, ranked = sorted_keys(keys)
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)]
     group = np.empty(len(keys), np.int64)
     group[order] = np.cumsum(new) - 1
@@ -98,7 +107,8 @@ def compress(seq: np.ndarray, ends: np.ndarray, first: int, least: int = 16):
     state[ends - 1] = END
     while True:
         place = np.flatnonzero(state == LOOK)  # no pair spans two documents
-        keys = (seq[place].astype(np.uint64) << np.uint64(32)) | seq[place + 1]
+        width = (len(lengths) - 1).bit_length()  # bits of a symbol
+        keys = (seq[place].astype(np.uint64) << np.uint64(width)) | seq[place + 1]
         pairs, n, near, which, counts = frequent(place, keys, least)
         if not len(pairs):
             return np.concatenate(rules), lengths[first:], seq, np.flatnonzero(state & END) + 1
@@ -109,7 +119,7 @@ def compress(seq: np.ndarray, ends: np.ndarray, first: int, least: int = 16):
         used = np.bincount(which[take], minlength=len(pairs)) >= least
         take &= used[which]
         place, which, base = near[take], (np.cumsum(used) - 1)[which[take]], len(lengths)
-        sides = np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        sides = np.stack([pairs[used] >> np.uint64(width), pairs[used] & np.uint64((1 << width) - 1)], axis=1).astype(np.uint32)
         lengths = np.concatenate([lengths, lengths[sides].sum(axis=1)])
         rules.append(sides)
         seq[place] = (base + which).astype(np.uint32)
