@@ -53,6 +53,8 @@ def groups(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "exact")
     rows = recipes(docs, scratch).withColumn("key", F.xxhash64("recipe"))
     several = rows.groupBy("key", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    # a table of its own, alike at every size: of a join of two tables adaptive execution can split the rows of a hot group
+    several = scratch.write(several, "groups").hint("merge")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return rows.join(several, ["key", "recipe"], "left").select(
         "doc_id",
