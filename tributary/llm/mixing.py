@@ -9,7 +9,8 @@ reduction tree: documents meet within buckets, the buckets' last documents meet
 next level, until a source has one document left, whose fraction is drawn.
 
 A bucket holds about ``bucket_rows`` documents, so a source with a third of all rows is
-many buckets.  Chance comes from hashes of doc_id, bucket and level: reruns agree.
+many buckets.  Chance comes from hashes of doc_id, bucket and level: reruns agree.  Rows without a doc_id are dealt by their
+number in the input instead, so that many of them do not share a bucket; of them reruns agree while the input's files are the same.
 
 Defined results: null text has size 0; null sources are one source, the last; documents of
 size 0 are taken like others but count no words; repeated rows are documents of their own
@@ -120,7 +121,7 @@ def copies(rows: DataFrame, scratch: Scratch, seed: int = 7, bucket_rows: int =
     known = goals.select(F.col("source").alias("s"), "source_size", "target", each.alias("rate"), F.ceil(F.col("n_rows") / bucket_rows).alias("buckets"))
     # rows meet their source's one row; a hot source's side is split by adaptive execution, its other side is that row
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = scratch.write(rows.withColumns({"place": F.xxhash64("doc_id", F.lit(seed)), "fraction": F.col("rate") - F.floor("rate")}), "rates")
+    rows = scratch.write(rows.withColumns({"place": F.when(F.col("doc_id").isNull(), F.xxhash64("row", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed))), "fraction": F.col("rate") - F.floor("rate")}), "rates")
     left = rows.filter((F.col("fraction") > 0) & (F.col("fraction") < 1))
     most = goals.agg(F.max("n_rows")).first()[0] or 0
     buckets = math.ceil(most / bucket_rows)
