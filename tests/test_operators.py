@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,27 @@ def test_feature_matrix(spark):
     assert all(v == 0 for k, v in rows["Z"].asDict().items() if k not in ("account", "is_account"))
 
 
+def test_layered_scores_equal_dense_ones(spark):
+    rng = np.random.default_rng(1)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 12, (30, 2))})
+    f = flows(spark, [(f"n{a}", f"n{b}", 1, 1) for a, b in pairs])
+    x = rng.normal(size=(13, 3))  # the last one has no neighbours
+    rows = spark.createDataFrame([(f"n{i}", *map(float, v)) for i, v in enumerate(x)], "account string, a double, b double, c double")
+    layer = lambda n, m: {k + t: rng.normal(size=(n, m)) for k in ("own", "near") for t in ("", "_rev")} | {"bias" + t: rng.normal(size=m) for t in ("", "_rev")}
+    layers, head = [layer(3, 4), layer(8, 2)], {"weight": rng.normal(size=(4, 2)), "bias": rng.normal(size=2)}
+    into = np.zeros((13, 13))
+    for a, b in pairs:
+        if a != b:
+            into[b, a] = 1
+    mean = lambda m: m / np.maximum(m.sum(axis=1, keepdims=True), 1)
+    h = x
+    for w in layers:
+        h = np.maximum(np.concatenate([h @ w["own" + t] + mean(m) @ h @ w["near" + t] + w["bias" + t] for t, m in (("", into), ("_rev", into.T))], axis=1), 0)
+    z = np.exp(h @ head["weight"] + head["bias"])
+    got = {r["account"]: r["score"] for r in ml.layered_scores(f, rows, ["a", "b", "c"], layers, head, both_ways=True).collect()}
+    assert len(got) == 13 and all(math.isclose(got[f"n{i}"], z[i, 1] / z[i].sum(), rel_tol=1e-9) for i in range(13))
+
+
 def test_flag_upsert_keeps_status(spark):
     cols = "fingerprint string, flag_type string, account_ids array<string>, risk_level string, risk_score double, explanation string, details string"
     old = spark.createDataFrame([("f", "CYCLE", ["A"], "low", 0.1, "x", None, "closed", 1, 1, 1)], cols + ", status string, first_detected_at long, last_detected_at long, detection_count int")

@@ -1,9 +1,11 @@
 """File readers, validation and the stream of events."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
+from tributary.operators import features as fe
 from tributary.sources import files as fs
 from tributary.streaming import ingest as ing
 
@@ -38,6 +40,28 @@ def test_stream_equals_batch_and_counts_a_repeat_once(spark, tmp_path):
     assert (last["tx_count"], last["total_amount"]) == (15, 15 * 120)
 
 
+def test_live_scores(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    for k, pairs in enumerate([[("a", "b"), ("b", "c")], [("c", "d")], []]):
+        rows = [{**SETTLE, "event_id": f"{k}-{i}", "sender_id": x, "receiver_id": y} for i, (x, y) in enumerate(pairs)]
+        (folder / f"{k}.txt").write_text("\n".join(map(json.dumps, rows)) or "{broken")
+        os.utime(folder / f"{k}.txt", (1_700_000_000 + k, 1_700_000_000 + k))  # files are read in the order of their times
+    seen = []
+
+    def model(matrix):
+        assert matrix.columns[1:] == fe.FEATURES
+        seen.append({r["account"]: (r["in_degree"], r["out_degree"]) for r in matrix.collect()})
+        return matrix.select("account", (F.col("in_degree") / 2 + 0.45).alias("score"))
+
+    stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).text(str(folder))
+    ing.start_ingest(stream, out, on_batch=ing.live_scorer(out, model, hops=1)).awaitTermination()
+    assert seen == [{"a": (0, 1), "b": (1, 1), "c": (1, 0)}, {"b": (0, 1), "c": (1, 1), "d": (1, 0)}, {}]
+    scores = {(r["batch"], r["account"]): (r["score"], r["tier"], r["distance"]) for r in spark.read.parquet(f"{out}/scores").collect()}
+    assert len(scores) == 6 and scores[0, "a"] == (0.45, "medium", 0) and scores[1, "d"] == (0.95, "critical", 0) and scores[1, "b"][2] == 1
+    assert {(r["batch"], r["account"]) for r in spark.read.parquet(f"{out}/flags").collect()} == {(0, "a"), (0, "b"), (0, "c"), (1, "c"), (1, "d")}
+
+
 def test_csv_and_patterns(spark, tmp_path):
     row = "2022/09/01 00:20,10,AAA,11,BBB,1.99,US Dollar,1.99,US Dollar,ACH,1"
     (tmp_path / "t.csv").write_text("Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering\n" + row + "\nbad,1,a,2,b,x,US Dollar,x,US Dollar,ACH,0\n")

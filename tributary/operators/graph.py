@@ -333,18 +333,21 @@ def shortest_path(flows: DataFrame, a: str, b: str, most: int = 10) -> DataFrame
     return found.filter(F.col("account") == b).select("path", (F.size("path") - 1).alias("hops"))
 
 
-def neighbourhood(flows: DataFrame, seeds: DataFrame, hops: int = 2, fanout: int = 10, cap: int = 300) -> DataFrame:
+def neighbourhood(flows: DataFrame, seeds: DataFrame, hops: int = 2, fanout: int = 10, cap: int | None = 300) -> DataFrame:
     """Accounts around seeds, each frontier account adding its ``fanout`` largest counterparties in either direction, at most ``cap``, nearest first."""
     e = without_self(flows).select("src", "dst", "total_amount")
     both = e.select(F.col("src").alias("x"), F.col("dst").alias("y"), "total_amount").unionAll(e.select(F.col("dst").alias("x"), F.col("src").alias("y"), "total_amount")).groupBy("x", "y").agg(F.sum("total_amount").alias("amount"))
     largest, rounds = Window.partitionBy("x").orderBy(F.col("amount").desc(), "y"), Rounds(flows.sparkSession, "around")
-    both = stage(both, "around-pairs")
+    pairs = Rounds(flows.sparkSession, "around-pairs")
+    both = pairs.put(both)
     seen = rounds.put(seeds.select("account", F.lit(0).alias("distance")).distinct())
     for k in range(1, hops + 1):
         front = seen.filter(F.col("distance") == k - 1).select(F.col("account").alias("x"))
         best = both.join(front, "x").withColumn("k", F.row_number().over(largest)).filter(F.col("k") <= fanout)
         new = best.select(F.col("y").alias("account")).distinct().join(seen, "account", "left_anti")
-        seen = rounds.put(seen.unionAll(new.select("account", F.lit(k).alias("distance"))).orderBy("distance", "account").limit(cap))
+        grown = seen.unionAll(new.select("account", F.lit(k).alias("distance")))
+        seen = rounds.put(grown if cap is None else grown.orderBy("distance", "account").limit(cap))
+    pairs.clear()
     return seen
 
 

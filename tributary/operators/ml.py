@@ -213,6 +213,58 @@ def propagate(flows: DataFrame, features: DataFrame, names: list[str], hops: int
     return out
 
 
+def layered_scores(flows: DataFrame, features: DataFrame, names: list[str], layers: list[dict], head: dict, both_ways: bool = False) -> DataFrame:
+    """M9: (account, score) of a network with given weights over means of neighbours' vectors.
+
+    A layer is {"own": rows by width, "near": rows by width, "bias": width} for an account's vector and the mean over its distinct
+    payers; with ``both_ways`` also "own_rev", "near_rev" and "bias_rev" for payees, set beside the first.  Negative numbers count as 0
+    between layers and before the head {"weight": rows by classes, "bias": classes}; the score is the softmax of the second class.
+    Accounts without neighbours have a mean of 0.  Means are aggregates that combine before the shuffle; products run over Arrow batches.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from tributary.operators.flows import without_self
+
+    edges, rounds = stage(without_self(flows).select("src", "dst").distinct(), "layers"), Rounds(flows.sparkSession, "layers")
+    width = len(names)
+    last = features.select("account", F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names]).alias("v"))
+
+    def mean(h: DataFrame, at: str, to: str, n: int, name: str) -> DataFrame:
+        near = edges.join(h.withColumnRenamed("account", at), at).groupBy(F.col(to).alias("account"))
+        return near.agg(F.array(*[F.avg(F.get("v", F.lit(i))) for i in range(n)]).alias(name))
+
+    def product(layer: dict, sides: list[tuple[str, str]], final: bool):
+        weights = [[np.array(layer[k + tag], dtype=float) for k in ("own", "near", "bias")] for _, tag in sides]
+
+        def run(batches):
+            for batch in batches:
+                own = np.stack(batch["v"]) if len(batch) else np.zeros((0, len(weights[0][0])))
+                parts = [own @ w + np.stack(batch[side]) @ u + b if len(batch) else np.zeros((0, len(b))) for (side, _), (w, u, b) in zip(sides, weights)]
+                x = np.maximum(np.concatenate(parts, axis=1), 0.0)
+                if not final:
+                    yield pd.DataFrame({"account": batch["account"], "v": list(x)})
+                else:
+                    z = x @ np.array(head["weight"], dtype=float) + np.array(head["bias"], dtype=float)
+                    e = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
+                    yield pd.DataFrame({"account": batch["account"], "score": e[:, 1] / e.sum(axis=1) if len(z) else np.zeros(0)})
+
+        return run
+
+    sides = [("payers", "")] + ([("payees", "_rev")] if both_ways else [])
+    for k, layer in enumerate(layers):
+        none = F.array_repeat(F.lit(0.0), width)
+        rows = last
+        for side, _ in sides:
+            at, to = ("src", "dst") if side == "payers" else ("dst", "src")
+            rows = rows.join(mean(last, at, to, width, side), "account", "left").withColumn(side, F.coalesce(side, none))
+        final = k == len(layers) - 1
+        last = rows.mapInPandas(product(layer, sides, final), "account string, score double" if final else "account string, v array<double>")
+        if not final:
+            last, width = rounds.put(last), sum(len(layer["bias" + tag]) for _, tag in sides)
+    return last
+
+
 def train_classifier(rows: DataFrame, names: list[str], weight: str | None = None, seed: int = 42):
     """Gradient-boosted trees on propagated features with class weights, in place of a neural network (no such library here)."""
     from pyspark.ml import Pipeline

@@ -15,7 +15,7 @@ from tributary.operators import series as se
 from tributary.operators import state as st
 from tributary.plans.core import BAND, FIRST, OUT
 from tributary.plans.registry import E, FE, FT, SQL_ACC, SQL_FLAG, T, TYPOLOGIES, accounts, flags, query, with_
-from tributary.session import shared_dir
+from tributary.session import shared_dir, stage
 from tributary.sources import files as fs
 from tributary.sources.adapters import SQL_E, SQL_FE, SQL_FT, SQL_T
 from tributary.streaming import ingest as ing
@@ -297,6 +297,28 @@ def _(s, d):
     return s.read.parquet(f"{root}/flows/{last}").select("src", "dst", "tx_count", "total_amount")
 
 
+@query("q_m13_live_scores", "SELECT DISTINCT account FROM (SELECT unnest(['A' || (event_id // 2 % 100), 'B' || (event_id // 2 % 90)]) AS account FROM events WHERE event_id % 2 = 1 AND event_id % 50 <> 0 AND event_id % 77 <> 0)")
+def _(s, d):
+    """Accounts that a stream of the events touches, each flagged by the batch that touched it."""
+    root = _folder(s, "live")
+    _raw_events(s, d).repartition(2).write.text(f"{root}/in")
+    stream = s.readStream.schema("value string").option("maxFilesPerTrigger", 1).text(f"{root}/in")
+    model = lambda m: m.select("account", (1 / (1 + F.exp(-F.col("flow_ratio")))).alias("score"))
+    ing.start_ingest(stream, root, on_batch=ing.live_scorer(root, model, hops=1)).awaitTermination()
+    return s.read.schema("account string, fingerprint string, risk_level string, risk_score double").parquet(f"{root}/flags/*").select("account").distinct()
+
+
+@query("q_m09_layered_scores")
+def _(s, d):
+    """Two layers both ways with weights from a rule, over every account of the flows."""
+    f = stage(FE(s, d), "flows")
+    names = ["out_degree", "in_degree", "flow_ratio"]
+    weight = lambda n, m: [[((3 * i + 5 * j) % 7 - 3) / 10 for j in range(m)] for i in range(n)]
+    layer = lambda n, m: {k + t: weight(n, m) for k in ("own", "near") for t in ("", "_rev")} | {"bias": [0.1] * m, "bias_rev": [0.0] * m}
+    rows = fe.base(f, fl.endpoints(f), 0).withColumns({n: F.log1p(n) for n in names[:2]})
+    return ml.layered_scores(f, rows, names, [layer(3, 4), layer(8, 4)], {"weight": weight(8, 2), "bias": [0.0, 0.2]}, both_ways=True)
+
+
 def _list(s, path):
     p = s._jvm.org.apache.hadoop.fs.Path(path)
     return list(p.getFileSystem(s._jsc.hadoopConfiguration()).listStatus(p))

@@ -64,6 +64,10 @@ class Rounds:
         _remove(self.spark, f"{self.root}/{self.k - 1}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.k}")
 
+    def clear(self) -> None:
+        """Removes the last round's table too; nothing that is still to be computed may need it."""
+        _remove(self.spark, self.root)
+
 
 def running(df: DataFrame, order: Column, sums: dict[str, str]) -> DataFrame:
     """With sums of columns up to each row in an order of distinct values: {new name: column}.  Ranges of rows are summed apart

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.operators.flows import flows_of, merge_flows
+from tributary.functions.scoring import MODEL_BANDS, band
+from tributary.operators import features as fe
+from tributary.operators.flows import flows_of, induced, merge_flows
+from tributary.operators.graph import neighbourhood
 
 EVENT_SCHEMA = (
     "event_id string, event_type string, sender_id string, receiver_id string, amount_cents long, currency string, timestamp_utc string, authorization_code string, "
@@ -120,10 +125,38 @@ def start_ingest(stream: DataFrame, root: str, once: bool = True, on_batch=None)
 
 def reset(spark: SparkSession, root: str) -> None:
     """K9: removes what ``start_ingest`` has written under ``root``, its checkpoint last, so a reset that is cut short can run again."""
-    for name in ("flows", "dead", "ledger", "checkpoint"):
+    for name in ("flows", "dead", "scores", "flags", "live", "ledger", "checkpoint"):
         _drop(spark, f"{root}/{name}")
 
 
+def live_scorer(root: str, model: Callable[[DataFrame], DataFrame], hops: int = 3, fanout: int = 10, most: int | None = None) -> Callable[[DataFrame, int], None]:
+    """An ``on_batch`` of ``start_ingest`` that scores the accounts a batch touches and those around them.
+
+    ``model`` gets the matrix of FEATURES (G23, F6), whose columns it may refuse, and gives (account, score).  Each batch writes
+    scores (account, score, tier, distance) and, for touched accounts alone, flags (account, fingerprint, risk_level, risk_score)
+    under its id, so one that runs again replaces them; without transfers both are empty.  Ages are taken from the flows' latest activity.
+    ``most`` bounds the accounts around the touched ones; touched ones are always scored.
+    """
+
+    def score(new: DataFrame, batch_id: int) -> None:
+        spark = new.sparkSession
+        flows = spark.read.parquet(f"{root}/flows/{batch_id}")
+        keep = lambda df, name: (df.write.mode("overwrite").parquet(f"{root}/live/{name}"), spark.read.schema(df.schema).parquet(f"{root}/live/{name}"))[1]
+        touched = keep(new.select(F.explode(F.array("sender_id", "receiver_id")).alias("account")).filter("account <> ''").distinct(), "touched")
+        cap = None if most is None else touched.count() + most
+        near = neighbourhood(flows, touched, hops, fanout, cap)
+        inner = keep(induced(flows, near), "flows")
+        latest = flows.agg(F.max("last_ts")).first()[0] or 0
+        matrix = fe.assemble(inner, near.select("account"), None, None, None, latest)
+        scores = model(matrix).join(near, "account").select("account", "score", band(F.col("score"), MODEL_BANDS).alias("tier"), "distance")
+        scores.write.mode("overwrite").parquet(f"{root}/scores/batch={batch_id}")
+        saved = spark.read.schema("account string, score double, tier string, distance int").parquet(f"{root}/scores/batch={batch_id}")
+        flags = saved.filter("distance = 0").select("account", F.concat(F.lit("live:"), "account").alias("fingerprint"), F.col("tier").alias("risk_level"), F.col("score").alias("risk_score"))
+        flags.write.mode("overwrite").parquet(f"{root}/flags/batch={batch_id}")
+
+    return score
+
+
 def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """One event per id, with state bounded by the watermark."""
     return events.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", delay).dropDuplicatesWithinWatermark(["event_id"])
