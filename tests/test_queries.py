@@ -47,3 +47,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["q_j06_settlements"])
+def test_settlements_beyond_a_million_authorisations(spark, tmp_path, name):
+    db = duckdb.connect()
+    # ten authorisations whose numbers differ in the seventh digit only, on one day
+    db.sql(f"COPY (SELECT 2000000 + i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts FROM range(20) r(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got, want = plans.queries()[name](spark, str(tmp_path)), db.sql(plans.oracle_sql()[name])
+    assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.fetchall())

@@ -263,7 +263,8 @@ def _raw_events(s, d):
     """Card events as JSON, some of them broken on purpose."""
     k = F.col("event_id")
     auth = k % 2 == 0
-    code = F.lpad((k / 2).cast("long").cast("string"), 6, "0")
+    # six characters as the rule wants them, of 36 kinds: ten digits would give out at a million authorisations, these at two thousand million
+    code = F.lpad(F.conv((k / 2).cast("long").cast("string"), 10, 36), 6, "0")
     e = F.struct(
         k.cast("string").alias("event_id"), F.when(k % 50 == 0, None).when(auth, "auth").otherwise("SETTLEMENT").alias("event_type"), F.concat(F.lit("A"), (k / 2).cast("long") % 100).alias("sender_id"), F.concat(F.lit("B"), (k / 2).cast("long") % 90).alias("receiver_id"),
         (F.when(k % 77 == 0, -5).otherwise(1000 + k % 10)).alias("amount_cents"), F.lit("usd").alias("currency"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp_utc"), code.alias("authorization_code"),
