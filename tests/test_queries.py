@@ -49,7 +49,7 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["q_j06_settlements"])
+@pytest.mark.parametrize("name", ["q_j06_settlements", "q_r07_matched_stream"])
 def test_settlements_beyond_a_million_authorisations(spark, tmp_path, name):
     db = duckdb.connect()
     # ten authorisations whose numbers differ in the seventh digit only, on one day
