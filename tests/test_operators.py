@@ -208,3 +208,20 @@ def test_two_hop_over_several_blocks_as_brute_force(spark):
     want = {a: (round(math.log1p(len(ahead[a])), 9), round(math.log1p(sum(a in z for z in ahead.values())), 9)) for a in out}
     got = gr.two_hop(spark.createDataFrame(pairs + pairs[:9], "src string, dst string"), payers=7, payees=5).collect()
     assert {r["account"]: (round(r["two_hop_out"], 9), round(r["two_hop_in"], 9)) for r in got} == want and len(got) == len(want)
+
+
+def test_oversampled_points_lie_on_the_way_to_the_nearest_row(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    v, y = rng.normal(size=(120, 8)), np.arange(120) % 2
+    rows = [(int(i), v[i].tolist(), int(y[i])) for i in range(120)] + [(500, [0.0] * 8, 7)]  # the last class has one row
+    got = ml.oversample(spark.createDataFrame(rows, "vec_id long, vec array<double>, label int"), k=1, block=20).collect()
+    ways = {0: [], 1: []}
+    for i in range(120):
+        d = np.where((y == y[i]) & (np.arange(120) != i), ((v - v[i]) ** 2).sum(axis=1), np.inf)
+        ways[y[i]].append((v[i], v[d.argmin()]))
+    assert len(got) == 120
+    for r in got:
+        p = np.array(r["vec"])
+        assert min(np.linalg.norm(p - a) + np.linalg.norm(p - b) - np.linalg.norm(a - b) for a, b in ways[r["label"]]) < 1e-9
