@@ -57,3 +57,25 @@ def test_settlements_beyond_a_million_authorisations(spark, tmp_path, name):
     db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     got, want = plans.queries()[name](spark, str(tmp_path)), db.sql(plans.oracle_sql()[name])
     assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["q_j06_settlements", "q_r07_matched_stream"])
+@pytest.mark.parametrize("first", [5_000_000_000, 2**60])
+def test_settlements_of_large_ids(spark, tmp_path, name, first):
+    db = duckdb.connect()
+    db.sql(f"COPY (SELECT {first} + i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts FROM range(80) r(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got, want = plans.queries()[name](spark, str(tmp_path)), db.sql(plans.oracle_sql()[name])
+    assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.fetchall())
+
+
+def test_matched_stream_rounds_seconds_as_sql(spark, tmp_path):
+    db = duckdb.connect()
+    # seconds of an authorisation and of its settlement: out of order within a second, about a day apart, halves
+    pairs = [(10.6, 10.4), (10.4, 10.3), (10.6, 10.7), (0.4, 86400.6), (0.6, 86400.6), (0.6, 86401.4), (0.6, 86401.6), (10.5, 10.4), (11.5, 11.4), (10.5, 86410.5), (0.5, 86401.5)]
+    rows = ", ".join(f"({2 * i + 2 + j}, {t})" for i, p in enumerate(pairs) for j, t in enumerate(p))
+    db.sql(f"COPY (SELECT e.id::BIGINT AS event_id, TIMESTAMP '2024-01-01' + to_microseconds((e.t * 1000000)::BIGINT) AS ts FROM (VALUES {rows}) e(id, t)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got, want = plans.queries()["q_r07_matched_stream"](spark, str(tmp_path)), db.sql(plans.oracle_sql()["q_r07_matched_stream"])
+    assert 0 < len(want.fetchall()) < len(pairs)
+    assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.fetchall())

@@ -84,3 +84,11 @@ def test_elliptic(spark, tmp_path):
     (tmp_path / "e").write_text("txId1,txId2\n1,2\n1,3\n")
     nodes, edges = fs.read_elliptic(spark, *[str(tmp_path / x) for x in "fce"], last_step=34)
     assert {(r["node"], r["y"]) for r in nodes.collect()} == {("1", 3), ("2", 0)} and edges.count() == 1
+
+
+def test_events_are_parsed_once_below_a_filter(spark):
+    raw = spark.createDataFrame([('{"event_type": "AUTH"}',), ("{",), (None,)], "value string")
+    valid = ing.normalise(raw).filter("size(errors) = 0 AND event_type = 'AUTH'")
+    assert valid._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert valid.count() == 0
+    assert sorted("not JSON" in r.errors for r in ing.normalise(raw).collect()) == [False, False, True]

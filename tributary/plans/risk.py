@@ -259,18 +259,22 @@ def _cached(s, d):
 
 
 
-def _raw_events(s, d):
-    """Card events as JSON, some of them broken on purpose."""
+def _raw_events(s, d, parts=None):
+    """Card events as JSON, some of them broken on purpose; dealt over ``parts`` partitions if given."""
     k = F.col("event_id")
-    auth = k % 2 == 0
-    # six characters as the rule wants them, of 36 kinds: ten digits would give out at a million authorisations, these at two thousand million
-    code = F.lpad(F.conv((k / 2).cast("long").cast("string"), 10, 36), 6, "0")
+    auth, n = k % 2 != 1, F.shiftright(k, 1)
+    # six characters as the rule wants them, of 2048 kinds from U+4E00 on: 66 bits, so every number has a code of its own
+    kind = lambda i: F.shiftrightunsigned(n, 11 * i).bitwiseAND(2047) + 0x4E00
+    code = F.decode(F.unhex(F.concat(*[F.hex(kind(i + 1) * 65536 + kind(i)) for i in (4, 2, 0)])), "UTF-16BE")
+    # the nearest second, as the SQL's cast of epoch() takes it
+    at = F.timestamp_seconds(F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long"))
     e = F.struct(
-        k.cast("string").alias("event_id"), F.when(k % 50 == 0, None).when(auth, "auth").otherwise("SETTLEMENT").alias("event_type"), F.concat(F.lit("A"), (k / 2).cast("long") % 100).alias("sender_id"), F.concat(F.lit("B"), (k / 2).cast("long") % 90).alias("receiver_id"),
-        (F.when(k % 77 == 0, -5).otherwise(1000 + k % 10)).alias("amount_cents"), F.lit("usd").alias("currency"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp_utc"), code.alias("authorization_code"),
+        k.cast("string").alias("event_id"), F.when(k % 50 == 0, None).when(auth, "auth").otherwise("SETTLEMENT").alias("event_type"), F.concat(F.lit("A"), n % 100).alias("sender_id"), F.concat(F.lit("B"), n % 90).alias("receiver_id"),
+        (F.when(k % 77 == 0, -5).otherwise(1000 + k % 10)).alias("amount_cents"), F.lit("usd").alias("currency"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp_utc"), code.alias("authorization_code"),
         F.lit(True).alias("approved"), F.lit("t1").alias("terminal_id"), F.lit("1234").alias("merchant_category_code"), F.lit("shop").alias("merchant_name"), F.when(~auth, 1000 + (k - 1) % 10 + F.when(k % 9 == 0, -50).otherwise(0)).alias("settlement_amount_cents"),
     )
-    return s.read.parquet(f"{d}/events.parquet").select(F.to_json(e).alias("value"))
+    rows = s.read.parquet(f"{d}/events.parquet").select("event_id", "ts")
+    return (rows.repartition(parts) if parts else rows).select(F.to_json(e).alias("value"))
 
 
 query("q_p01_normalise", "SELECT count(*) AS n, count(*) FILTER (event_id % 50 <> 0 AND event_id % 77 <> 0) AS valid FROM events")(lambda s, d: ing.normalise(_raw_events(s, d)).agg(F.count("*").alias("n"), F.sum((F.size("errors") == 0).cast("long")).alias("valid")))
@@ -333,8 +337,9 @@ def _streamed(s, d, times, run):
     """The rows that a streaming query writes over the events, which come ``times`` times, a batch each."""
     root = _folder(s, "events")
     for _ in range(times):
-        _raw_events(s, d).coalesce(1).write.mode("append").text(f"{root}/in")
-    stream = s.readStream.schema("value string").option("maxFilesPerTrigger", 1).text(f"{root}/in")
+        _raw_events(s, d, int(s.conf.get("spark.sql.shuffle.partitions"))).write.mode("append").option("compression", "gzip").text(f"{root}/in")
+    files = max(1, sum(f.getPath().getName().startswith("part-") for f in _list(s, f"{root}/in")) // times)
+    stream = s.readStream.schema("value string").option("maxFilesPerTrigger", files).text(f"{root}/in")
     out = run(ing.normalise(stream).filter("size(errors) = 0"))
     out.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{root}/out").awaitTermination()
     return s.read.schema(out.schema).parquet(f"{root}/out")

@@ -28,7 +28,7 @@ def wallet_ok(chain: Column, address: Column) -> Column:
 def normalise(raw: DataFrame, value: str = "value") -> DataFrame:
     """JSON to event columns with ``errors``, the rules it breaks; a row without errors is valid."""
     e = F.from_json(F.col(value), EVENT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = raw.withColumn("e", e).select(F.col(value).alias("payload"), "e.*")
+    rows = raw.select(F.col(value).alias("payload"), F.inline(F.array(e)))  # a filter is not pushed below it, where it would parse anew for each column
     kind = F.upper(F.trim("event_type"))
     size = lambda c, lo, hi: F.coalesce(F.length(c), F.lit(0)).between(lo, hi)
     offset = lambda c: F.col(c).rlike(r"(Z|[+-]\d\d:?\d\d)$")
